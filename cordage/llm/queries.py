@@ -14,6 +14,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.secrets import find_secrets
+
+    return find_secrets(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -21,6 +27,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.order_minhash import fingerprint_documents, written
+
+    found = fingerprint_documents(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.token_output import token_output
 
@@ -34,5 +47,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op9_token_output, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op8_order_minhash, op9_token_output, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {}
