@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordage.llm import line_dedup
 from cordage.llm.common import table
 
 
@@ -27,6 +28,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.decontaminate import contaminated
+
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.line_dedup import dedup_lines
+
+    left = dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.order_minhash import fingerprint_documents, written
 
@@ -47,5 +61,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op8_order_minhash, op9_token_output, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op6_line_dedup, op8_order_minhash, op9_token_output, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
