@@ -68,15 +68,19 @@ def similarity(a: Column, b: Column) -> Column:
 
 def _items(items: DataFrame) -> DataFrame:
     """item_id, length (words), width (of a shingle), shingles."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text").cast("string")).alias("words"))
     width = F.least(F.size("words"), F.lit(SHINGLE))
     made = reduce(lambda e, k: e.when(F.col("width") == k, _shingles(F.col("words"), k)), range(2, SHINGLE + 1), F.when(F.col("width") == 1, _shingles(F.col("words"), 1)))
     return rows.withColumn("width", width).select("item_id", F.size("words").alias("length"), "width", made.alias("shingles"))
 
 
+def _known(items: DataFrame) -> DataFrame:
+    return staged(_items(items).filter("length > 0").withColumn("fp", simhash(F.col("shingles"))), "items")
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of every document and item that reach the threshold."""
-    known = staged(_items(items).withColumn("fp", simhash(F.col("shingles"))), "items")
+    known = _known(items)
     sizes = {r["width"]: r["n"] for r in known.groupBy("width").agg(F.sum(F.size("shingles")).alias("n")).collect()}  # 5 rows at most
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     base = base.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_hashes(F.col("text")).alias("words"))
@@ -84,7 +88,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     for width in sorted(sizes):
         starts = known.filter(F.col("width") == width).select("item_id", "length", F.explode(F.array_distinct("shingles")).alias("h"))
         starts = F.broadcast(starts) if sizes[width] <= SENT_ROWS else starts
-        places = base.select("doc_id", "text_hash", _shingles(F.col("words"), width).alias("all")).select("doc_id", "text_hash", "all", F.posexplode("all").alias("at", "h"))
+        # The outer form, as the other one also filters by the array's size, which would compute the array twice.
+        places = base.select("doc_id", "text_hash", _shingles(F.col("words"), width).alias("all")).select("doc_id", "text_hash", "all", F.posexplode_outer("all").alias("at", "h"))
         span = F.col("length") - width + 1
         first = F.least(F.col("at"), F.greatest(F.size("all") - span, F.lit(0)))
         found.append(places.join(starts, "h").select("doc_id", "text_hash", "item_id", first.alias("first_word"), F.slice("all", first + 1, span).alias("window")))

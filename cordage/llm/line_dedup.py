@@ -31,8 +31,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, text_hash, line (first of the window), selected (least line hash), whole (hash of the window)."""
     h = F.col("h")
-    rows = docs.withColumn("h", F.transform(F.split("text", "\n"), lambda s: F.xxhash64(s))).filter(F.size("h") >= run)
-    line = F.sequence(F.lit(0), F.size(h) - run)
+    rows = docs.withColumn("h", F.transform(F.split("text", "\n"), lambda s: F.xxhash64(s)))
+    line = F.when(F.size(h) >= run, F.sequence(F.lit(0), F.size(h) - run)).otherwise(F.array().cast("array<int>"))
     at = lambda i: [F.get(h, i + j) for j in range(run)]
     made = F.transform(line, lambda i: F.struct(i.alias("line"), F.least(*at(i)).alias("selected"), F.xxhash64(*at(i)).alias("whole")))
     return rows.select("doc_id", "text_hash", F.explode(made).alias("w")).select("doc_id", "text_hash", "w.*").distinct()
