@@ -34,6 +34,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.language_id import identify
+
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.line_dedup import dedup_lines
 
@@ -41,6 +47,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.quality import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.order_minhash import fingerprint_documents, written
 
@@ -61,5 +73,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op6_line_dedup, op8_order_minhash, op9_token_output, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
