@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordage.llm.secrets import find_secrets
 
@@ -73,5 +79,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
