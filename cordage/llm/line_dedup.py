@@ -54,7 +54,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFra
     """doc_id, n_lines, removed, text (what is left) of every document."""
     base = _hashed(docs)
     found = staged(repeated_lines(base, run).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), "removed")
-    rows = base.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    # Merged at any size: sending what was found to every task would hold for small tables only.
+    rows = base.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     # As bits of one string, so that a line is looked up by its number.
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
