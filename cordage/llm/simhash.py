@@ -73,38 +73,39 @@ def embedding(fp: Column) -> Column:
 
 
 def _cells(fp: Column) -> Column:
-    """(segment, step, cell) of the fingerprint's own cell (segment -1) and the cells at distance 1."""
+    """The fingerprint's own cell and those at distance 1."""
     own = embedding(fp)
 
     def step(sign: int):
         def one(s: Column) -> Column:
             count = F.call_function("shiftrightunsigned", own, s * 4).bitwiseAND(F.lit(15))
-            moved = own + F.lit(sign) * F.call_function("shiftleft", F.lit(1).cast("long"), s * 4)
-            return F.when(count > 0 if sign < 0 else count < 4, F.struct(s.alias("segment"), F.lit(sign).alias("step"), moved.alias("cell")))
+            return F.when(count > 0 if sign < 0 else count < 4, own + F.lit(sign) * F.call_function("shiftleft", F.lit(1).cast("long"), s * 4))
 
         return F.transform(F.sequence(F.lit(0), F.lit(15)), one)
 
-    centre = F.array(F.struct(F.lit(-1).alias("segment"), F.lit(0).alias("step"), own.alias("cell")))
-    return F.filter(F.concat(centre, step(1), step(-1)), lambda c: c.isNotNull())
+    return F.filter(F.concat(F.array(own), step(1), step(-1)), lambda c: c.isNotNull())
 
 
-def _middles(fp: Column, segment: Column, step: Column) -> Column:
-    """The words within one bit of ``fp`` whose embedding is the cell (segment, step)."""
+def _middles(fp: Column, cell: Column) -> Column:
+    """The words within one bit of ``fp`` whose embedding is ``cell``, one of its cells."""
+    moved = cell - embedding(fp)
+    segment = F.shiftright((F.bit_count(F.abs(moved) - 1)).cast("int"), 2)
 
     def flip(b: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), segment * 4 + b)
-        unset = fp.bitwiseAND(bit) == 0
-        return F.when(unset == (step > 0), fp.bitwiseXOR(bit))
+        return F.when((fp.bitwiseAND(bit) == 0) == (moved > 0), fp.bitwiseXOR(bit))
 
     flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), flip), lambda m: m.isNotNull())
-    return F.when(step == 0, F.array(fp)).otherwise(flips)
+    return F.when(moved == 0, F.array(fp)).otherwise(flips)
 
 
 def links(classes: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` whose components are those of all pairs within 2 bits."""
-    placed = classes.select("fp", F.explode(_cells(F.col("fp"))).alias("c")).select("fp", "c.*")
-    shared = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select("cell")
-    middles = staged(placed.join(shared, "cell").select("fp", F.explode(_middles(F.col("fp"), F.col("segment"), F.col("step"))).alias("middle")), "middles")
+    placed = classes.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    # Merged at any size: sending the shared cells to every task would hold for small tables only.
+    near = placed.join(shared.hint("merge"), "cell")
+    middles = staged(near.select("fp", F.explode(_middles(F.col("fp"), F.col("cell"))).alias("middle")), "middles")
     hub = middles.groupBy("middle").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v != w").select("middle", "v")
     return middles.join(hub, "middle").filter("fp != v").select(F.col("fp").alias("u"), "v")
 
