@@ -114,3 +114,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     exact = exact.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= threshold)
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), "length")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("first_word"), F.col("m.length").alias("n_words"))
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of the documents that hold no item."""
+    found = staged(contaminated(spark, docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_hit")), "left_anti")

@@ -4,7 +4,7 @@ Learned from labelled documents outside the held-out fold; of each language the
 id hash, and of each of those LEARN_WINDOWS windows spread over the text. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from, all are; rows
-that repeat a doc_id each get a row; a null doc_id counts as held out; an empty table gives no rows; other columns are ignored.
+that repeat a doc_id each get a row; a null doc_id counts as held out; filtering rejects `und` and scores below LEAST_SCORE; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from cordage.llm.common import held_out
 
 LEARN_DOCUMENTS, LEARN_WINDOWS = 500, 6
 UNKNOWN = "und"
+#: Below this score a language counts as not recognised. By chance alone, one of four classes has 0.25.
+LEAST_SCORE = 0.3
 #: Bytes of text that the network reads at a time.
 STRETCH = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,22 +57,35 @@ def learn(spark: SparkSession, docs: DataFrame, documents: int = LEARN_DOCUMENTS
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def _predicted(network: ByteCNN | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    names, scores, todo, size = [UNKNOWN] * len(texts), [0.0] * len(texts), [], 0
+    for k in range(len(texts)):
+        text = texts[k].as_py()
+        if network is not None and text is not None and _LETTER.search(text):
+            todo.append((k, text.encode("utf-8", "replace")))
+            size += len(todo[-1][1])
+        if todo and (size >= STRETCH or k == len(texts) - 1):
+            p = network.documents([t for _, t in todo])
+            for (i, _), c, s in zip(todo, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
+                names[i], scores[i] = network.classes[c], min(1.0, s)
+            todo, size = [], 0
+    return names, scores
+
+
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = model.value
         for batch in batches:
-            names, scores, todo, size = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [], 0
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py()
-                if network is not None and text is not None and _LETTER.search(text):
-                    todo.append((k, text.encode("utf-8", "replace")))
-                    size += len(todo[-1][1])
-                if todo and (size >= STRETCH or k == batch.num_rows - 1):
-                    p = network.documents([t for _, t in todo])
-                    for (i, _), c, s in zip(todo, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
-                        names[i], scores[i] = network.classes[c], min(1.0, s)
-                    todo, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], schema=_SCHEMA)
+            names, scores = _predicted(model.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=_SCHEMA)
+
+    return run
+
+
+def _filter(model, column: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = _predicted(model.value, batch.column(column))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return run
 
@@ -85,3 +100,9 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     network = learn(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     return predict(spark, docs, network).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is predicted with a score of ``least`` or more."""
+    network = learn(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    return docs.mapInArrow(_filter(spark.sparkContext.broadcast(network), docs.columns.index("text"), least), docs.schema)

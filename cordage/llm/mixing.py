@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import staged, word_count
+from cordage.llm.common import WORD, staged, word_count
 from cordage.llm.prefix_sums import exclusive_sums
 
 BLOCK_WORDS, SHARD_SLOTS, BUCKETS = 64, 16384, 1024
@@ -144,3 +144,30 @@ def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(times, ["sid", "block"]).groupBy("sid", "bucket", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(used, ["sid", "bucket", "nth"], "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """What the mix takes of every document, one row per pass over its source that takes anything, with the columns of ``docs``.
+
+    A pass that takes the whole document keeps its text as it is; one that takes some of its blocks has their words, in order,
+    with single spaces between. ``n_chars`` is that of the new text.
+    """
+    placed, _, slots = mix(spark, docs, **options)
+    row = ["doc_id", "text_hash", "sid", "bucket", "nth"]
+    used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(slots.select("sid", "block", "turn"), ["sid", "block"])
+    # As many pieces as the document has blocks, at most.
+    cuts = used.groupBy(*row, "size", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cuts"), F.sum("words").alias("taken"))
+    cuts = cuts.groupBy(*row, "size").agg(F.sort_array(F.collect_list(F.struct("turn", "taken", "cuts"))).alias("turns"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("sid", "bucket", "nth"))
+    cuts = staged(cuts.withColumn("copy", copy).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copy", "size", "turns"), "cuts")
+    # Rows that are alike in id and text are told apart by their number.
+    named = docs.withColumn("_h", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source"))
+    named = named.withColumn("_copy", nth)
+    rows = named.join(cuts.hint("merge"), named["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")) & (F.col("_copy") == F.col("copy")))
+    rows = rows.withColumn("_t", F.explode("turns")).withColumn("_w", F.when(F.col("_t.taken") < F.col("size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("_t.cuts", lambda c: F.slice(F.col("_w"), (c["first"] + 1).cast("int"), c["words"].cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_t.taken") == F.col("size"), F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.llm.common import staged
@@ -122,5 +122,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, seed:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document per component: the one with the smallest id (a null id only where no
+    other is in the component). Identical texts under one id are kept once."""
+    found = near_duplicates(spark, docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in ("source", "lang") if c in docs.columns] or ["doc_id"]))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
