@@ -103,21 +103,21 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Whole texts are dealt by id once; from there both a text and its donor's beginning are taken.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(_FIRST_KEY)))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_KEY)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = staged(base.groupBy("key").agg(F.max(F.floor(F.length("text") / 2)).cast("long").alias("need"), F.count("*").alias("n")), "keys")
     repeated = keys.filter("n > 1").limit(1).count() > 0
     following = staged(next_keys(keys.select("key", "need")), "following")
 
+    # Both uses read the same two columns, so that the texts are dealt once and read twice.
     dealt = base.repartition(whole_parts(spark), "key")
     donors = dealt.groupBy("key").agg(F.min("text").alias("text")) if repeated else dealt
     gifts = donors.select(F.col("key").alias("next"), F.col("text").alias("donor")).join(following, "next").select("key", "next", F.left("donor", F.col("need").cast("int")).alias("gift"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = dealt.join(gifts, "key").withColumn("n_chars", F.length("text"))
-    rows = rows.select("doc_id", "key", "next", "n_chars", "text", F.concat(F.left("text", F.col("n_chars") - half), F.left("gift", half)).alias("edited"))
+    rows = rows.select("key", "next", "n_chars", "text", F.concat(F.left("text", F.col("n_chars") - half), F.left("gift", half)).alias("edited"))
     rows = with_fingerprint(with_fingerprint(rows, "text", "fp"), "edited", "edited_fp")
-    rows = staged(rows.select("doc_id", "key", "next", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp"), "prints")
+    rows = staged(rows.select("key", "next", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp"), "prints")
     # Where ids are repeated, the fingerprint of the least text, as that text was the donor.
     onward = with_fingerprint(donors, "text", "next_fp").select("key", "next_fp") if repeated else rows.select("key", F.col("fp").alias("next_fp"))
     paired = rows.join(onward.withColumnRenamed("key", "next"), "next")
-    return paired.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    return paired.select(F.when(F.col("key") != _FIRST_KEY, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
