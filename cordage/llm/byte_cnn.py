@@ -39,14 +39,15 @@ class ByteCNN:
     def _parameters(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, *self.bias, self.out, self.out_bias]
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
-        """Adam on the mean cross entropy of the windows ``rows`` with class numbers ``labels``, classes weighted alike."""
+    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 6, least_steps: int = 600, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
+        """Adam on the mean cross entropy of the windows ``rows`` with class numbers ``labels``, classes weighted alike; few rows are gone over
+        more often, for ``least_steps`` in all."""
         rng = np.random.default_rng(seed)
         share = np.bincount(labels, minlength=len(self.classes)).astype(np.float32)
         weight = (len(labels) / np.maximum(share, 1) / max(1, (share > 0).sum()))[labels]
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in self._parameters()]
         t = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * batch // max(1, len(rows))))):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
