@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.functions import text as T
+from cordage.operators import compose as C
+from cordage.operators import gameplay as P
 from cordage.operators import graph as G
 from cordage.operators import lint as L
 from cordage.operators import reports as R
@@ -568,3 +570,118 @@ def engine_project_split(spark, sf):
 def coupling_heat(spark, sf):
     s = G.coupling(B.type_nodes(spark, sf), B.kind_edges(spark, sf))
     return s.select("name", F.when(F.col("score") >= 10, "red").when(F.col("score") >= 5, "yellow").otherwise("green").alias("heat"))
+
+
+@query(f"WITH RECURSIVE {B.KIND_EDGES}, ke AS (SELECT DISTINCT src, dst FROM kedge), {_cycles_sql('cyc', 'ke')}, {SCORE}, {LINT} SELECT 'types' AS metric, (SELECT count(*) FROM node) AS value UNION ALL SELECT 'references', (SELECT count(*) FROM kedge) UNION ALL SELECT 'dead', (SELECT count(*) FROM node WHERE name NOT IN (SELECT dst FROM kedge WHERE src <> dst)) UNION ALL SELECT 'direct_cycles', (SELECT count(*) FROM cyc WHERE len(path) <= 2) UNION ALL SELECT 'other_cycles', (SELECT count(*) FROM cyc WHERE len(path) > 2) UNION ALL SELECT 'highest_coupling', (SELECT max(score) FROM score) UNION ALL SELECT 'issues_' || lower(severity), count(*) FROM issue GROUP BY severity")
+def health_report(spark, sf):
+    return C.health(B.type_nodes(spark, sf), B.kind_edges(spark, sf), L.document_issues(B.wiki_nodes(spark, sf)), 4)
+
+
+@query(f"WITH RECURSIVE {B.EDGES}, st AS (SELECT s_suppkey AS start FROM supplier WHERE s_suppkey % 10 = 3), {_levels_sql('edge', 'SELECT start FROM st', 3, 'dst', 'src')}, rc AS (SELECT start, count(*) AS affected, max(depth) AS deepest FROM lev GROUP BY start), ia AS (SELECT l_suppkey AS start, count(*) AS issues FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), aa AS (SELECT l_suppkey AS start, count(*) AS assets FROM lineitem WHERE l_quantity > 40 GROUP BY 1) SELECT st.start, coalesce(affected, 0) AS affected, coalesce(deepest, 0) AS deepest, coalesce(issues, 0) AS issues, coalesce(assets, 0) AS assets FROM st LEFT JOIN rc USING (start) LEFT JOIN ia USING (start) LEFT JOIN aa USING (start)")
+def risk_report(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    starts = B.table(spark, sf, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("start"))
+    named = lambda test: li.filter(test).select(F.col("l_suppkey").alias("name"))
+    return C.risk(B.type_edges(spark, sf), starts, named("l_returnflag = 'R'"), named("l_quantity > 40"))
+
+
+NEW_CYCLES = f"{SNAPSHOTS}, {_cycles_sql('ca', 'ea')}, {_cycles_sql('cb', 'eb')}, nc AS (SELECT path FROM cb WHERE {KEY} NOT IN (SELECT {KEY} FROM ca))"
+
+
+def _new_cycles(spark, sf):
+    a, b = (G.cycles(e, 4).withColumn("key", G.cycle_key(F.col("path"))) for e in _snapshots(spark, sf))
+    return b.join(a.select("key"), "key", "left_anti")
+
+
+@query(f"WITH RECURSIVE {NEW_CYCLES} SELECT count(*) AS new_cycles, count(*) <= 0 AS passed FROM nc")
+def diff_gate(spark, sf):
+    return C.gate(_new_cycles(spark, sf))
+
+
+@query(f"WITH RECURSIVE {NEW_CYCLES}, o AS (SELECT DISTINCT unnest(path) AS name FROM nc), s AS (SELECT dst AS name, count(*) AS score FROM eb GROUP BY dst) SELECT name, score FROM o JOIN s USING (name) ORDER BY score DESC, name LIMIT 5")
+def new_cycle_classes(spark, sf):
+    scores = _snapshots(spark, sf)[1].groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("score"))
+    return C.new_cycle_classes(_new_cycles(spark, sf), scores)
+
+
+@query(f"WITH {B.EDGES}, n AS (SELECT src AS name FROM edge UNION SELECT dst FROM edge) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM n WHERE name NOT IN (SELECT src FROM edge)) AS leaves, (SELECT count(*) FROM n WHERE name % 4 <> 0) AS unresolved")
+def flow_counts(spark, sf):
+    known = B.table(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("name"))
+    return C.flow_counts(B.type_edges(spark, sf), known)
+
+
+@query(f"WITH {B.CALLS} SELECT src, dst, min(ord) AS ord FROM (SELECT * FROM call ORDER BY ord LIMIT 40) GROUP BY src, dst")
+def compact_flow(spark, sf):
+    return C.compact_flow(B.call_sites(spark, sf))
+
+
+@query("SELECT l_suppkey AS cls, l_linenumber AS name, arg_min(l_partkey, l_orderkey * 1000000 + l_partkey) AS return_type FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY 1, 2")
+def return_type_index(spark, sf):
+    m = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cls"), F.col("l_linenumber").alias("name"), F.col("l_partkey").alias("return_type"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("ord"))
+    return C.return_types(m, B.table(spark, sf, "part").filter("p_size < 5").select(F.col("p_partkey").alias("name")))
+
+
+@query("SELECT p_partkey AS name, CASE WHEN p_size < 10 THEN 'engine_base' WHEN (p_partkey + 1) IN (SELECT p_partkey FROM part WHERE p_size < 10) OR (p_partkey + 2) IN (SELECT p_partkey FROM part WHERE p_size < 10) THEN 'engine_derived' ELSE 'project' END AS class FROM part")
+def engine_classification(spark, sf):
+    p = B.table(spark, sf, "part")
+    types = p.select(F.col("p_partkey").alias("name"), F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 2).alias("base_types"))
+    return P.engine_classification(types, p.filter("p_size < 10").select(F.col("p_partkey").alias("name")))
+
+
+@query("SELECT l_shipmode AS root, tags FROM (SELECT 'none' AS l_shipmode, 0 AS tags) WHERE FALSE UNION ALL SELECT 'Event' || upper(substring(event_type, 1, 1)) AS root, count(DISTINCT user_id % 7) AS tags FROM events GROUP BY 1")
+def tag_distribution(spark, sf):
+    letters = F.substring(F.lit("AbcBcdCdeDefEfgFghGhi"), ((F.col("user_id") % 7) * 3 + 1).cast("int"), F.lit(3))
+    e = B.table(spark, sf, "events").select(F.concat(F.lit("Event"), F.upper(F.substring("event_type", 1, 1)), F.lit("."), letters).alias("tag"))
+    return P.tag_distribution(e)
+
+
+@query("SELECT CASE WHEN starts_with(p_name, 'blue') THEN 'ability' WHEN starts_with(p_name, 'red') THEN 'effect' ELSE 'other' END AS role, count(*) AS assets FROM part GROUP BY 1")
+def asset_role_counts(spark, sf):
+    from cordage.sources.assets import asset_role
+
+    name = F.when(F.col("p_name").startswith("blue"), F.lit("GA_x")).when(F.col("p_name").startswith("red"), F.lit("GE_x")).otherwise(F.col("p_name"))
+    return P.role_counts(B.table(spark, sf, "part"), asset_role(name))
+
+
+@query("SELECT p_brand AS name, count(*) FILTER (o_orderstatus = 'F') AS prefabs, count(*) FILTER (o_orderstatus = 'O') AS scenes, count(*) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def reference_summary(spark, sf):
+    li, o, p = (B.table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    ending = F.when(F.col("o_orderstatus") == "F", ".prefab").when(F.col("o_orderstatus") == "O", ".unity").otherwise(".mat")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(F.col("p_brand").alias("name"), F.concat(F.col("l_orderkey").cast("string"), ending).alias("asset"))
+    return P.reference_summary(rows)
+
+
+@query(f"WITH RECURSIVE {B.HIERARCHY}, fam AS (SELECT parent AS start, parent AS cls, TRUE AS direct FROM hier WHERE parent LIKE 'r:%' UNION SELECT parent, name, FALSE FROM hier WHERE parent LIKE 'r:%'), a AS (SELECT 'n:' || c_nationkey AS cls, c_name AS name, 'a' || c_custkey AS asset FROM customer UNION ALL SELECT 'r:' || r_regionkey, r_name, 'x' FROM region) SELECT start, fam.cls AS cls, direct, count(*) AS assets FROM fam JOIN a ON a.cls = fam.cls GROUP BY 1, 2, 3")
+def family_assets(spark, sf):
+    h = B.hierarchy(spark, sf)
+    roots = h.filter(F.col("parent").startswith("r:")).select(F.col("parent").alias("start")).distinct()
+    closure = G.descendants(h.withColumnRenamed("parent", "base"), roots, 1)
+    c, r = B.table(spark, sf, "customer"), B.table(spark, sf, "region")
+    assets = c.select(F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("parent"), F.col("c_name").alias("name"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("asset"))
+    assets = assets.unionByName(r.select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("parent"), F.col("r_name").alias("name"), F.lit("x").alias("asset")))
+    return P.family_assets(roots, closure, assets).groupBy("start", "cls", "direct").agg(F.count("*").alias("assets"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 80 THEN substring(text, 1, 77) || '...' ELSE text END AS short FROM documents")
+def truncated_text(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", R.truncated(F.col("text"), 80).alias("short"))
+
+
+@query("SELECT conv_id, trim(regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\\w\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '')) AS slug FROM conversations WHERE turn = 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def conversation_slugs(spark, sf):
+    c = B.table(spark, sf, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).filter("turn = 0")
+    return c.select("conv_id", T.slug(F.col("text")).alias("slug"))
+
+
+@query("SELECT lang, regexp_matches(source, '(1|3|5)$') AS is_test, count(*) AS files FROM documents GROUP BY 1, 2")
+def test_file_counts(spark, sf):
+    from cordage.sources.assets import is_test_file
+
+    path = F.when(F.col("source").rlike("[135]$"), F.concat(F.lit("src/tests/"), "source", F.lit(".cs"))).otherwise(F.concat(F.lit("src/"), "source", F.lit(".cs")))
+    return B.table(spark, sf, "documents").groupBy("lang", is_test_file(path).alias("is_test")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT s_suppkey AS name, CASE s_suppkey % 6 WHEN 0 THEN 'actor' WHEN 1 THEN 'object' WHEN 2 THEN 'struct' WHEN 3 THEN 'enum' WHEN 4 THEN 'interface' ELSE 'other' END AS category FROM supplier")
+def prefix_category(spark, sf):
+    name = F.concat(F.substring(F.lit("AUFEIx"), (F.col("s_suppkey") % 6 + 1).cast("int"), F.lit(1)), F.lit("Thing"))
+    return B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), P.prefix_category(name).alias("category"))
