@@ -150,23 +150,24 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, passage: int = PASSAGE,
     """doc, start, end (words, end exclusive), later: stretches of windows that repeat, those of a document overlapping where they do."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     kept = staged(base.mapInArrow(_kept(passage, gram), "key long, doc long, n long"), "kept")
-    shared = kept.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    # Sums that are joined back are staged first: a join of two plain exchanges is one whose hot keys Spark can split.
+    shared = staged(kept.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "keys")
     per_text = staged(kept.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "shared")
     texts = base.join(per_text.hint("merge"), "doc").select("doc", "text", "keys")
     blocks = staged(texts.mapInArrow(_blocks(passage, gram), "key long, block long, doc long, low long, windows array<long>"), "blocks")
 
     place = F.struct("doc", "low", "windows")
     classes = staged(blocks.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("key", "block", "n", "p.*"), "classes")
-    differ = classes.groupBy("key").agg(F.count("*").alias("kinds"))
+    differ = staged(classes.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
     marked = classes.join(differ.hint("merge"), "key")
     plain = marked.filter("kinds = 1 AND n > 1").select("block", F.lit(0).cast("long").alias("from"), (F.size("windows") - 1).cast("long").alias("to"), F.col("doc").alias("first_doc"), F.col("low").alias("first_at"))
     opened = staged(marked.filter("kinds > 1 OR n = 1").select("block", "n", "doc", "low", F.posexplode("windows").alias("at", "window")), "windows")
-    first = opened.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc", (F.col("low") + F.col("at")).alias("pos"))).alias("f")).filter("n > 1").select("window", "f.*")
+    first = staged(opened.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc", (F.col("low") + F.col("at")).alias("pos"))).alias("f")).filter("n > 1").select("window", "f.*"), "first")
     matched = opened.select("block", F.col("at").cast("long").alias("at"), "window").join(first.withColumnsRenamed({"doc": "first_doc", "pos": "first_pos"}).hint("merge"), "window").select("block", "at", "first_doc", (F.col("first_pos") - F.col("at")).alias("first_at"))
     # Windows in a row whose first places are in a row too: one stretch. A block has as many windows as a text has words, at most.
     in_row = F.row_number().over(Window.partitionBy("block", "first_doc", "first_at").orderBy("at"))
     stretches = matched.withColumn("run", F.col("at") - in_row).groupBy("block", "first_doc", "first_at", "run").agg(F.min("at").alias("from"), F.max("at").alias("to"))
-    every = plain.unionByName(stretches.select("block", "from", "to", "first_doc", "first_at"))
+    every = staged(plain.unionByName(stretches.select("block", "from", "to", "first_doc", "first_at")), "stretches")
     placed = blocks.select("block", "doc", "low").join(every.hint("merge"), "block")
     later = (F.col("doc") != F.col("first_doc")) | (F.col("low") != F.col("first_at"))
     return placed.select("doc", (F.col("low") + F.col("from")).alias("start"), (F.col("low") + F.col("to") + passage).alias("end"), later.alias("later"))
