@@ -40,7 +40,7 @@ NO_ID = -(1 << 63)
 #: Documents that the dictionary is trained on, at most, and ids of each.
 DICT_DOCUMENTS, DICT_IDS, DICT_BYTES = 2000, 2048, 65536
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 900_000
+KEPT_WORDS = 1_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -54,10 +54,15 @@ class WordEncoder:
     """
 
     # A sentence mark after a letter or digit is a pre-token of its own where the word ends.
-    _tail = re.compile(rb"([a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,]+)(?=\s|\Z)")
+    # Printable ASCII without apostrophes falls into pre-tokens of letters, single digits, and others.
+    _printable = re.compile(rb"[!-&(-~]+")
+    _parts = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    _single = re.compile(rb"[0-9]|[!-&(-/:-`{-~]+")
+    _marked = re.compile(rb"([a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]+\Z")
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(definition)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -65,6 +70,13 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self._ends[i] = token.endswith("</w>")
         self._ids: dict[bytes, bytes] = {}
+        # What was kept before ``_ids`` was begun anew: words that are met again move over, rare ones go.
+        self._older: dict[bytes, bytes] = {}
+        # Pre-tokens of printable ASCII are in the form that the model reads already: for those, the model with nothing before it.
+        self._bare = Tokenizer(self.tokenizer.model)
+        self._bare.pre_tokenizer = WhitespaceSplit()
+        probe = "the quick brown fox jumps overly lazily qzx a 7 ... *** #$ @"
+        self._same = self._bare.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     @classmethod
     def of(cls, definition: str) -> WordEncoder:
@@ -78,33 +90,59 @@ class WordEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self._ids) + len(pieces) > KEPT_WORDS:
-            self._ids.clear()
-        words = [p.decode() for p in pieces]
-        lettered = [i for i, w in enumerate(words) if w.isalpha()]
-        other = [i for i, w in enumerate(words) if not w.isalpha()]
-        if lettered:
-            # A word of letters is one pre-token, whose last id alone ends a word.
-            joined = np.frombuffer(self._plain([" ".join(words[i] for i in lettered)])[0], "<u4")
-            ends = np.flatnonzero(self._ends[joined]) + 1
-            if len(ends) == len(lettered):
+        known, apart = self._ids, {}
+        parts = {p for p in pieces if p.isalpha()} if self._same else set()
+        for p in pieces:
+            if p in parts:
+                continue
+            if self._same and self._printable.fullmatch(p):
+                found = self._parts.findall(p)
+            elif p[-1] in b".," and self._marked.search(p):
+                bare = p.rstrip(b".,")
+                found = [bare, p[len(bare) :]]
+            else:
+                found = [p]
+            parts.update(found)
+            if len(found) > 1:
+                apart[p] = found
+        self._learn_parts(list(parts.difference(known)))
+        for p, found in apart.items():
+            known[p] = b"".join(map(known.__getitem__, found))
+
+    def _learn_parts(self, pieces: list[bytes]) -> None:
+        plain, letters, other = [], [], []
+        for p in pieces:
+            if self._same and (p.isalpha() or self._single.fullmatch(p)):
+                plain.append(p)
+            else:
+                (letters if p.decode().isalpha() else other).append(p)
+        for tokenizer, some in ((self._bare, plain), (self.tokenizer, letters)):
+            if not some:
+                continue
+            # Each is one pre-token, whose last id alone ends a word.
+            joined = np.asarray(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self._ends[joined]) + 1) * 4
+            if len(ends) == len(some):
                 raw, start = joined.tobytes(), 0
-                for i, end in zip(lettered, (ends * 4).tolist(), strict=True):
-                    self._ids[pieces[i]] = raw[start:end]
+                for p, end in zip(some, ends.tolist(), strict=True):
+                    self._ids[p] = raw[start:end]
                     start = end
             else:
-                other += lettered
-        for i, ids in zip(other, self._plain([words[i] for i in other]), strict=True):
-            self._ids[pieces[i]] = ids
+                other += some
+        if other:
+            self._ids.update(zip(other, self._plain([p.decode() for p in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        split = [None if b"<|" in b else self._tail.sub(rb"\1 \2", b.lower()).split() for b in raw]
+        split = [None if b"<|" in b else b.lower().split() for b in raw]
         seen = set().union(*(s for s in split if s))
-        if new := list(seen - self._ids.keys()):
-            self._learn(new)
-            if len(self._ids) < len(seen):  # emptied on the way
-                self._learn(list(seen - self._ids.keys()))
+        if new := seen.difference(self._ids):
+            if len(self._ids) + len(new) > KEPT_WORDS // 2:
+                self._older, self._ids = self._ids, {}
+                new = seen
+            met = new.intersection(self._older)
+            self._ids.update((w, self._older[w]) for w in met)
+            self._learn(list(new.difference(met)))
         get = self._ids.__getitem__
         return [self._plain([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
@@ -204,7 +242,8 @@ class Shard:
 def train_dictionary(spark: SparkSession, docs: DataFrame, definition: str) -> bytes:
     """A zstandard dictionary of at most DICT_BYTES from the first DICT_IDS ids of the DICT_DOCUMENTS
     documents with the least id hash; empty where there is too little to train on."""
-    rows = docs.filter(F.length("text") > 0).select("text").orderBy(F.xxhash64("doc_id"), "text").limit(DICT_DOCUMENTS).select(F.substring("text", 1, DICT_IDS * 4)).collect()
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCUMENTS)
+    rows = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, DICT_IDS * 4).alias("text")).orderBy("text").limit(DICT_DOCUMENTS).collect()
     samples = [b[: DICT_IDS * 4] for b in WordEncoder.of(definition).encode([r[0] for r in rows])] if rows else []
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 32 * 1024:
