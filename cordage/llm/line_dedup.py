@@ -41,10 +41,11 @@ def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, text_hash, removed (the lines to delete, ascending) of the documents that have any."""
     every = staged(windows(docs, run), "windows")
-    shared = every.groupBy("selected").agg(F.count("*").alias("n")).filter("n > 1").select("selected")
+    # Counts that are joined back are staged first: a join of two plain exchanges is one whose hot keys Spark can split.
+    shared = staged(every.groupBy("selected").agg(F.count("*").alias("n")).filter("n > 1").select("selected"), "shared")
     meeting = staged(every.join(shared, "selected").select("doc_id", "text_hash", "line", "whole"), "meeting")
     place = F.struct("doc_id", "text_hash", "line")
-    first = meeting.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("whole", "first")
+    first = staged(meeting.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("whole", "first"), "first")
     later = meeting.join(first, "whole").filter(place != F.col("first"))
     lines = later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("starts"))
     return lines.select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (run - 1)))))).alias("removed"))
