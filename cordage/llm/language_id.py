@@ -1,7 +1,7 @@
 """Language ID with a byte convolutional network (see byte_cnn.py).
 
-Learned from labelled documents outside the held-out fold; of each language the LEARN_DOCUMENTS with the least
-id hash, and of each of those LEARN_WINDOWS windows spread over the text. Prediction reads whole texts.
+Learned from labelled documents outside the held-out fold; of each of the LEARN_LANGUAGES most frequent languages
+the LEARN_DOCUMENTS with the least id hash, and of each of those LEARN_WINDOWS windows spread over the text. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from, all are; rows
 that repeat a doc_id each get a row; a null doc_id counts as held out; filtering rejects `und` and scores below LEAST_SCORE; an empty table gives no rows; other columns are ignored.
@@ -9,35 +9,43 @@ that repeat a doc_id each get a row; a null doc_id counts as held out; filtering
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.llm.byte_cnn import WINDOW, ByteCNN, windows_of
 from cordage.llm.common import held_out
 
-LEARN_DOCUMENTS, LEARN_WINDOWS = 500, 6
+#: The most frequent languages that are learned, documents of each, windows of a document.
+LEARN_LANGUAGES, LEARN_DOCUMENTS, LEARN_WINDOWS = 200, 500, 6
 UNKNOWN = "und"
 #: Below this score a language counts as not recognised. By chance alone, one of four classes has 0.25.
 LEAST_SCORE = 0.3
 #: Bytes of text that the network reads at a time.
 STRETCH = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def learn(spark: SparkSession, docs: DataFrame, documents: int = LEARN_DOCUMENTS, windows: int = LEARN_WINDOWS) -> ByteCNN | None:
     """The network, or None where nothing is labelled."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    picked = known.select("lang", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= documents)
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # Ids are drawn before any text is read. By a language's count, a hash threshold leaves about twice as many as are wanted, and of
+    # those the least hashes are taken, so no task orders a whole language.
+    counts = known.groupBy("lang").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "lang").limit(LEARN_LANGUAGES)
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    drawn = known.select("doc_id", "lang", chance.alias("chance")).join(F.broadcast(counts), "lang").filter(F.col("chance") * F.col("count") < 2 * documents + 50)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
+    ids = drawn.withColumn("n", nth).filter(F.col("n") <= documents).select("doc_id", "lang", "n").dropDuplicates(["doc_id", "lang"])
+    # At most LEARN_LANGUAGES times ``documents`` ids.
+    picked = docs.filter(F.length("text") > 0).join(F.broadcast(ids), ["doc_id", "lang"])
     # As many rows as languages times ``documents``, each cut to the few stretches that are learned from.
     step = F.greatest(F.floor(F.length("text") / windows), F.lit(WINDOW))
     cuts = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(WINDOW)))
-    rows = picked.select("lang", F.filter(cuts, lambda c: F.length(c) > 0).alias("cuts"), "n").orderBy("lang", "n").collect()
+    rows = picked.select("lang", F.filter(cuts, lambda c: F.length(c) > 0).alias("cuts"), "n").orderBy("lang", "n", "cuts").collect()
     if not rows:
         return None
     classes = sorted({r["lang"] for r in rows})
