@@ -102,11 +102,12 @@ def _middles(fp: Column, cell: Column) -> Column:
 def links(classes: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` whose components are those of all pairs within 2 bits."""
     placed = classes.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
+    shared = staged(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"), "cells")
     # Merged at any size: sending the shared cells to every task would hold for small tables only.
     near = placed.join(shared.hint("merge"), "cell")
     middles = staged(near.select("fp", F.explode(_middles(F.col("fp"), F.col("cell"))).alias("middle")), "middles")
-    hub = middles.groupBy("middle").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v != w").select("middle", "v")
+    hub = staged(middles.groupBy("middle").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v != w").select("middle", "v"), "hubs")
     return middles.join(hub, "middle").filter("fp != v").select(F.col("fp").alias("u"), "v")
 
 
