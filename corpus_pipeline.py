@@ -12,8 +12,8 @@ from cordage.llm.common import staged, table
 from cordage.llm.decontaminate import without_contaminated
 from cordage.llm.language_id import in_known_language
 from cordage.llm.mixing import mixed_documents
+from cordage.llm.near_copies import without_near_copies
 from cordage.llm.queries import tokenizer_path
-from cordage.llm.simhash import without_near_duplicates
 from cordage.llm.token_output import token_output
 
 
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return without_near_duplicates(spark, docs)
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays."""
+    return without_near_copies(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
