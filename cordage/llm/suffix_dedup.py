@@ -9,7 +9,7 @@ suffixes become neighbours, and unequal ones need no order among them). Those wi
 
 Extend. From a kept position that has neighbours, windows reach left as far as it stays their minimiser, and right over the
 50 words of each: those windows, in order, are the position's block. Blocks that are equal as a whole are one class with a count, so copies
-are never expanded; only where a minimiser has blocks that differ, the classes' windows are compared one by one. Windows
+are never expanded; only where a minimiser has blocks that differ, or a block repeats windows of its own, the classes' windows are compared one by one. Windows
 that match and overlap make up the whole passage, to its first and last equal word.
 
 A passage's first place, by (doc_id, word), stays; the others are for removal.
@@ -160,8 +160,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, passage: int = PASSAGE,
     classes = staged(blocks.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("key", "block", "n", "p.*"), "classes")
     differ = staged(classes.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
     marked = classes.join(differ.hint("merge"), "key")
-    plain = marked.filter("kinds = 1 AND n > 1").select("block", F.lit(0).cast("long").alias("from"), (F.size("windows") - 1).cast("long").alias("to"), F.col("doc").alias("first_doc"), F.col("low").alias("first_at"))
-    opened = staged(marked.filter("kinds > 1 OR n = 1").select("block", "n", "doc", "low", F.posexplode("windows").alias("at", "window")), "windows")
+    # A block that repeats windows of its own has later ones inside even its first place.
+    whole = (F.col("kinds") == 1) & (F.col("n") > 1) & (F.size(F.array_distinct("windows")) == F.size("windows"))
+    plain = marked.filter(whole).select("block", F.lit(0).cast("long").alias("from"), (F.size("windows") - 1).cast("long").alias("to"), F.col("doc").alias("first_doc"), F.col("low").alias("first_at"))
+    opened = staged(marked.filter(~whole).select("block", "n", "doc", "low", F.posexplode("windows").alias("at", "window")), "windows")
     first = staged(opened.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc", (F.col("low") + F.col("at")).alias("pos"))).alias("f")).filter("n > 1").select("window", "f.*"), "first")
     matched = opened.select("block", F.col("at").cast("long").alias("at"), "window").join(first.withColumnsRenamed({"doc": "first_doc", "pos": "first_pos"}).hint("merge"), "window").select("block", "at", "first_doc", (F.col("first_pos") - F.col("at")).alias("first_at"))
     # Windows in a row whose first places are in a row too: one stretch. A block has as many windows as a text has words, at most.

@@ -76,3 +76,11 @@ def test_planted_in_production_size(spark):
 
 def test_empty(spark):
     assert M.repeated_passages(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copied_periodic_text(spark):
+    line = [f"p{i}" for i in range(12)]
+    rows = [(1, " ".join(line * 12)), (2, " ".join(line * 12))]
+    compare(spark, rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.later_words for r in M.repeated_passages(spark, df).collect()} == {1: 132, 2: 144}
