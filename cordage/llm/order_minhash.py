@@ -4,7 +4,8 @@ A text is read as words (pieces of at most 16 characters where white space is fu
 run of 3 words is a k-mer, and a k-mer's repeats in a text are told apart by occurrence numbers.
 The hash of (k-mer, occurrence) deals it to one of 64 buckets and orders it there. The 2 least of
 a bucket, put back into the order they have in the text, are hashed together: 16 bits and the bucket's
-number are one component of the fingerprint. The likeness of two fingerprints is the share of components
+number are one component of the fingerprint. A bucket that holds fewer than 2 goes on with the least of the buckets after it, in a circle
+(rotation): each bucket so has an order over all k-mers of the text, at every size, and its 2 least by it. Only a text of one k-mer has one component. The likeness of two fingerprints is the share of components
 that both have among the buckets that either has: blocks of a text that change places keep k-mers but lose their order.
 
 Occurrence numbers come from the sorted k-mers: an element's number is how far back the same k-mer reaches,
@@ -62,15 +63,22 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_s", F.filter(e, lambda x, i: (i < KEPT) | (bucket(x) != bucket(F.get(e, F.greatest(i - KEPT, F.lit(0))))))).drop("_e")
     s = F.col("_s")
 
+    # Buckets in the order of the sorted longs, and how many buckets end at x: its own and the empty ones before it, in a circle.
+    place = lambda x: F.shiftright(x, 64 - BUCKET_BITS)
+    every = 1 << BUCKET_BITS
+
     def component(x: Column, i: Column) -> Column:
         fresh = (i == 0) | (bucket(x) != bucket(F.get(s, F.greatest(i - 1, F.lit(0)))))
-        y = F.get(s, i + 1)
+        before = F.get(s, F.when(i == 0, F.size(s) - 1).otherwise(i - 1))
+        gap = F.when(F.size(s) == 1, F.lit(1)).otherwise(F.lit(every) - F.pmod(place(before) - place(x), F.lit(every))).cast("int")
+        y = F.coalesce(F.get(s, i + 1), F.get(s, F.lit(0)))
         a, b = x.bitwiseAND(high), y.bitwiseAND(high)
         pair = F.when(x.bitwiseAND(low) <= y.bitwiseAND(low), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        whole = F.when(y.isNotNull() & (bucket(x) == bucket(y)), pair).otherwise(F.xxhash64(a))
-        return F.when(fresh, (bucket(x) * 65536 + whole.bitwiseAND(F.lit(65535))).cast("int"))
+        whole = F.when(F.size(s) > 1, pair).otherwise(F.xxhash64(a)).bitwiseAND(F.lit(65535))
+        filled = F.transform(F.sequence(F.lit(0), gap - 1), lambda k: ((bucket(x) - k).bitwiseAND(F.lit(every - 1)) * 65536 + whole).cast("int"))
+        return F.when(fresh, filled)
 
-    return df.withColumn(out, F.filter(F.transform(s, component), lambda c: c.isNotNull())).drop("_s")
+    return df.withColumn(out, F.sort_array(F.flatten(F.filter(F.transform(s, component), lambda c: c.isNotNull())))).drop("_s")
 
 
 def likeness(a: Column, b: Column) -> Column:
