@@ -5,11 +5,11 @@ be shorter). The mix has output shards of a fixed number of slots. Every slot of
 its source, so a shard's counts per source are a multinomial draw; what a source drew beyond
 its quota over all shards goes to the sources that stayed below theirs, so the draw is one
 conditioned on the quotas. A source's slots are numbered through all shards, and each pass over
-the source maps slot numbers to block numbers by a permutation of its own. Blocks join by number.
+the source maps slot numbers to block numbers by a pseudorandom permutation of its own, a keyed Feistel network. Blocks join by number.
 
 Defined cases: a null source is a source of its own, ranked last; a null or empty text has size 0 and
 is taken 0 times; rows that repeat a doc_id are documents of their own; a table without words has targets of 0;
-an empty one gives no rows; other columns are ignored.
+an empty one gives no rows; other columns are ignored, whatever their names, and returned as they are by the form that returns documents.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.llm.common import WORD, staged, word_count
-from cordage.llm.prefix_sums import exclusive_sums
+from cordage.llm.prefix_sums import exclusive_sums, table_sums
 
 BLOCK_WORDS, SHARD_SLOTS, BUCKETS = 64, 16384, 1024
 #: Weights by rank of the source, repeating; the mix's share of all words; passes over a source at most.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: Strides of the permutations: primes above every prime factor that two of them could share.
-#: A stride must not divide the number of blocks; of 16 such primes, at most 3 divide a number below 2 ** 63.
-STRIDES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199)
-CELLS = 4096
+#: Rounds of a permutation, and how often a number outside its range is sent on: enough for each below 1024 blocks, beyond in all but 2 ** -160 cases.
+ROUNDS, WALKS = 4, 32
+#: Cells of the unit interval in which a draw looks for its source: this many, or as many for each source.
+CELLS, CELLS_A_SOURCE = 4096, 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -39,33 +39,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     """sid, source, weight, source_size, target per source: one row each.
 
     A source whose share by weight is above ``passes`` times its size keeps just that. Sources stop in
-    order of limit by weight, so the level at which the rest share is found in one pass over them.
+    order of limit by weight, so the level at which the rest share is found in one pass over them. Any number of
+    sources: ranks and running sums are made by ranges.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.select("source", "source_size", rank.alias("sid"), weight.alias("weight"))
-    limit = F.col("source_size") * F.lit(float(passes))
-    order = Window.orderBy(limit / F.col("weight"), "sid")
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    per = per.withColumns({"limit": limit, "total": F.sum("source_size").over(everything) * F.lit(float(share))})
-    level = (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    per = per.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("limit"))
-    shared = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
-    return per.withColumn("shared", shared).select("sid", "source", "weight", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("shared") * F.col("weight")).alias("target"))
+    per = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    per = table_sums(per, [F.col("source").isNull(), F.col("source")], {"sid": F.lit(1).cast("long")})
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
+    per = per.withColumn("limit", F.col("source_size") * F.lit(float(passes))).withColumn("ratio", F.col("limit") / F.col("weight"))
+    per = table_sums(per, ["ratio", "sid"], {"limit_before": F.col("limit"), "weight_before": F.col("weight")})
+    whole = per.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("all_weight"))
+    # One row of totals, and one with the level.
+    level = (F.col("total") - F.col("limit_before")) / (F.col("all_weight") - F.col("weight_before"))
+    per = per.join(F.broadcast(whole)).withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("limit"))
+    shared = per.agg(F.max(F.when(~F.col("full"), F.col("level"))).alias("shared"))
+    return per.join(F.broadcast(shared)).select("sid", "source", "weight", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("shared") * F.col("weight")).alias("target"))
 
 
 def with_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, passes: int = PASSES) -> DataFrame:
-    """Adds blocks and quota (slots) of each source, and cells of the unit interval for the draw: [low, high)."""
+    """Adds blocks and quota (slots) of each source, and its part of the unit interval for the draw: [low, high)."""
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     q = targets.withColumn("blocks", blocks)
     quota = F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * passes)).otherwise(F.lit(0))
-    q = q.withColumn("quota", quota.cast("long"))
-    before, everything = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    total = F.greatest(F.sum("quota").over(everything), F.lit(1))
-    low = F.coalesce(F.sum("quota").over(before), F.lit(0))
-    return q.withColumns({"slots": F.sum("quota").over(everything), "low": low / total, "high": (low + F.col("quota")) / total})
+    q = staged(q.withColumn("quota", quota.cast("long")), "quotas")
+    q = table_sums(q, ["sid"], {"before": F.col("quota")}).join(F.broadcast(q.agg(F.sum("quota").alias("slots"))))
+    total = F.greatest(F.col("slots"), F.lit(1))
+    return q.withColumns({"low": F.col("before") / total, "high": (F.col("before") + F.col("quota")) / total}).drop("before")
 
 
 def _uniform(*cols: Column | str) -> Column:
@@ -75,13 +73,13 @@ def _uniform(*cols: Column | str) -> Column:
 
 def draw_slots(spark: SparkSession, quotas: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """shard, sid, slot (number within the source, through all shards), pass, block of every slot of the mix."""
-    head = quotas.agg(F.coalesce(F.max("slots"), F.lit(0))).first()
-    slots = int(head[0])
+    head = quotas.agg(F.coalesce(F.max("slots"), F.lit(0)), F.count("*")).first()
+    slots, fine = int(head[0]), max(CELLS, CELLS_A_SOURCE * int(head[1]))
     shards = -(-slots // shard_slots)
     drawn = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(slots) - F.col("id") * shard_slots).cast("int") - 1)).alias("i"))
-    drawn = drawn.withColumn("u", _uniform(F.lit(seed), "shard", "i")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    # The interval of a source covers whole cells and two parts of cells: as many rows as cells and sources together.
-    cells = quotas.filter("quota > 0").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)).cast("int"))).alias("cell"))
+    drawn = drawn.withColumn("u", _uniform(F.lit(seed), "shard", "i")).withColumn("cell", F.floor(F.col("u") * fine).cast("long"))
+    # The part of a source covers whole cells and two parts of cells: as many rows as cells and sources together.
+    cells = quotas.filter("quota > 0").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * fine).cast("long"), F.least(F.floor(F.col("high") * fine), F.lit(fine - 1)).cast("long"))).alias("cell"))
     drawn = drawn.join(cells, "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("shard", "i", "sid")
     drawn = staged(drawn, "draws")
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("shard") / 64))
@@ -92,28 +90,37 @@ def draw_slots(spark: SparkSession, quotas: DataFrame, seed: int, shard_slots: i
 
     # Beyond a quota: as many slots as others miss; both are numbered by source and meet by number.
     total = drawn.groupBy("sid").agg(F.count("*").alias("drawn"))
-    book = quotas.select("sid", "quota", "blocks").join(total, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))).over(before), F.lit(0))
-    book = staged(book.withColumns({"over": run(F.col("drawn") - F.col("quota")), "under": run(F.col("quota") - F.col("drawn"))}), "quotas")
-    kept = numbered.join(book.select("sid", "quota", "over"), "sid")
+    book = staged(quotas.select("sid", "quota", "blocks").join(total, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))), "drawn")
+    more = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    book = staged(table_sums(book, ["sid"], {"over": more("drawn", "quota"), "under": more("quota", "drawn")}), "book")
+    kept = numbered.join(book.select("sid", "quota", "over", "blocks"), "sid")
     excess = kept.filter("slot >= quota").select("shard", (F.col("over") + F.col("slot") - F.col("quota")).alias("r"))
-    missing = book.filter("drawn < quota").select("sid", "under", "drawn", F.explode(F.sequence("drawn", F.col("quota") - 1)).alias("slot")).select("sid", "slot", (F.col("under") + F.col("slot") - F.col("drawn")).alias("r"))
+    missing = book.filter("drawn < quota").select("sid", "blocks", "under", "drawn", F.explode(F.sequence("drawn", F.col("quota") - 1)).alias("slot")).select("sid", "blocks", "slot", (F.col("under") + F.col("slot") - F.col("drawn")).alias("r"))
     # A rounding gap between two cells may draw no source, so a missing slot may meet no excess one: it goes to the last shard.
-    refill = missing.join(excess, "r", "left").select(F.coalesce("shard", F.lit(max(0, shards - 1))).alias("shard"), "sid", "slot")
-    every = kept.filter("slot < quota").select("shard", "sid", "slot").unionByName(refill)
-    every = every.join(book.select("sid", "blocks"), "sid")
-    turn, at = F.floor(F.col("slot") / F.col("blocks")).cast("long"), F.col("slot") % F.col("blocks")
-    return every.withColumns({"turn": turn, "at": at}).select("shard", "sid", "slot", "turn", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("turn")).alias("block"))
+    refill = missing.join(excess.hint("merge"), "r", "left").select(F.coalesce("shard", F.lit(max(0, shards - 1))).alias("shard"), "sid", "slot", "blocks")
+    every = kept.filter("slot < quota").select("shard", "sid", "slot", "blocks").unionByName(refill)
+    every = every.withColumns({"turn": F.floor(F.col("slot") / F.col("blocks")).cast("long"), "at": F.col("slot") % F.col("blocks")})
+    return every.select("shard", "sid", "slot", "turn", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("turn")).alias("block"))
 
 
 def permuted(at: Column, n: Column, *key: Column) -> Column:
-    """A permutation of 0 .. n-1 chosen by the key: a stride that is coprime with n, from an offset. Bijective as
-    the strides are primes and one that divides n is passed over."""
-    first = F.pmod(F.xxhash64(*key, F.lit("stride")), F.lit(len(STRIDES))).cast("int")
-    turned = F.transform(F.sequence(F.lit(0), F.lit(len(STRIDES) - 1)), lambda i: F.element_at(F.array(*[F.lit(p) for p in STRIDES]), (F.pmod(first + i, F.lit(len(STRIDES))) + 1).cast("int")))
-    stride = F.element_at(F.filter(turned, lambda p: n % p != 0), 1).cast("long")
-    return F.pmod(at * (stride % n) + F.pmod(F.xxhash64(*key, F.lit("offset")), n), n)
+    """A pseudorandom permutation of 0 .. n-1 chosen by the key: a Feistel network over pairs of digits, of which there are ``wide`` and
+    ``high``, so less than ``wide`` numbers more than n; what lands on one of those is sent on until it doesn't (cycle walking)."""
+    n = n.cast("long")
+    whole = lambda x, y: F.call_function("div", x, y)
+    wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    high = whole(n + wide - 1, wide)
+
+    def once(x: Column) -> Column:
+        digits, sizes = [x % wide, whole(x, wide)], [wide, high]
+        for r in range(ROUNDS):
+            i = r % 2
+            digits[i] = (digits[i] + F.pmod(F.xxhash64(*key, F.lit(r), digits[1 - i]), sizes[i])) % sizes[i]
+        return digits[0] + wide * digits[1]
+
+    first = once(at.cast("long"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(walked)
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -142,8 +149,9 @@ def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of every document."""
     placed, _, slots = mix(spark, docs, **options)
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(times, ["sid", "block"]).groupBy("sid", "bucket", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(used, ["sid", "bucket", "nth"], "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # Merged at any size: sending one side to every task would hold for small tables only.
+    used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "bucket", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    return placed.join(used.hint("merge"), ["sid", "bucket", "nth"], "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -154,20 +162,20 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """
     placed, _, slots = mix(spark, docs, **options)
     row = ["doc_id", "text_hash", "sid", "bucket", "nth"]
-    used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(slots.select("sid", "block", "turn"), ["sid", "block"])
+    used = pieces(placed, options.get("block_words", BLOCK_WORDS)).join(slots.select("sid", "block", "turn").hint("merge"), ["sid", "block"])
     # As many pieces as the document has blocks, at most.
     cuts = used.groupBy(*row, "size", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cuts"), F.sum("words").alias("taken"))
     cuts = cuts.groupBy(*row, "size").agg(F.sort_array(F.collect_list(F.struct("turn", "taken", "cuts"))).alias("turns"))
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("sid", "bucket", "nth"))
-    cuts = staged(cuts.withColumn("copy", copy).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copy", "size", "turns"), "cuts")
-    # Rows that are alike in id and text are told apart by their number.
-    named = docs.withColumn("_h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source"))
-    named = named.withColumn("_copy", nth)
-    rows = named.join(cuts.hint("merge"), named["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")) & (F.col("_copy") == F.col("copy")))
-    rows = rows.withColumn("_t", F.explode("turns")).withColumn("_w", F.when(F.col("_t.taken") < F.col("size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    some = F.array_join(F.flatten(F.transform("_t.cuts", lambda c: F.slice(F.col("_w"), (c["first"] + 1).cast("int"), c["words"].cast("int")))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_t.taken") == F.col("size"), F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    cuts = staged(cuts.withColumn("copy", copy).select("doc_id", "text_hash", "copy", "size", "turns"), "cuts")
+    # The caller's columns stay together under one name, so that none can clash. Rows alike in id and text are told apart by their number.
+    own = lambda c: F.col(f"row.`{c}`")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = named.withColumn("number", F.row_number().over(Window.partitionBy("id", "hash").orderBy(own("source"))))
+    rows = named.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("number") == F.col("copy")))
+    rows = rows.select("row", "size", F.explode("turns").alias("t")).withColumn("whole", F.col("t.taken") == F.col("size"))
+    rows = rows.withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all(own("text"), F.lit(WORD), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("t.cuts", lambda c: F.slice(F.col("words"), (c["first"] + 1).cast("int"), c["words"].cast("int")))), " ")
+    rows = rows.select("row", F.when(F.col("whole"), own("text")).otherwise(some).alias("text"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

@@ -118,7 +118,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, seed:
     roots = components(links(classes))
     member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = staged(member, "members")
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(member.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = staged(member.join(named, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
