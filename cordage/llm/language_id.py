@@ -1,7 +1,7 @@
 """Language ID with a byte convolutional network (see byte_cnn.py).
 
-Learned from labelled documents outside the held-out fold; of each of the LEARN_LANGUAGES most frequent languages
-the LEARN_DOCUMENTS with the least id hash, and of each of those LEARN_WINDOWS windows spread over the text. Prediction reads whole texts.
+Learned from labelled documents outside the held-out fold; of every language the LEARN_DOCUMENTS with the least id hash (fewer where there are so many
+languages that the sample would exceed LEARN_SAMPLE documents, one at least), and of each of those LEARN_WINDOWS windows spread over the text. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from, all are; rows
 that repeat a doc_id each get a row; a null doc_id counts as held out; filtering rejects `und` and scores below LEAST_SCORE; an empty table gives no rows; other columns are ignored.
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.llm.byte_cnn import WINDOW, ByteCNN, windows_of
-from cordage.llm.common import held_out
+from cordage.llm.common import held_out, trimmed
 
-#: The most frequent languages that are learned, documents of each, windows of a document.
-LEARN_LANGUAGES, LEARN_DOCUMENTS, LEARN_WINDOWS = 200, 500, 6
+#: Documents that are learned from of each language and of all together, windows of a document.
+LEARN_DOCUMENTS, LEARN_SAMPLE, LEARN_WINDOWS = 500, 100_000, 6
 UNKNOWN = "und"
-#: Below this score a language counts as not recognised. By chance alone, one of four classes has 0.25.
-LEAST_SCORE = 0.3
+#: Below this score a language counts as not recognised: no language has the greater part of the probability.
+LEAST_SCORE = 0.5
 #: Bytes of text that the network reads at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -35,12 +35,13 @@ def learn(spark: SparkSession, docs: DataFrame, documents: int = LEARN_DOCUMENTS
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # Ids are drawn before any text is read. By a language's count, a hash threshold leaves about twice as many as are wanted, and of
     # those the least hashes are taken, so no task orders a whole language.
-    counts = known.groupBy("lang").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "lang").limit(LEARN_LANGUAGES)
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"))
+    documents = max(1, min(documents, LEARN_SAMPLE // max(1, counts.count())))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    drawn = known.select("doc_id", "lang", chance.alias("chance")).join(F.broadcast(counts), "lang").filter(F.col("chance") * F.col("count") < 2 * documents + 50)
+    drawn = known.select("doc_id", "lang", chance.alias("chance")).join(counts, "lang").filter(F.col("chance") * F.col("count") < 2 * documents + 50)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
     ids = drawn.withColumn("n", nth).filter(F.col("n") <= documents).select("doc_id", "lang", "n").dropDuplicates(["doc_id", "lang"])
-    # At most LEARN_LANGUAGES times ``documents`` ids.
+    # At most LEARN_SAMPLE ids, or one per language.
     picked = docs.filter(F.length("text") > 0).join(F.broadcast(ids), ["doc_id", "lang"])
     # As many rows as languages times ``documents``, each cut to the few stretches that are learned from.
     step = F.greatest(F.floor(F.length("text") / windows), F.lit(WINDOW))
@@ -86,7 +87,7 @@ def _predictor(model):
             names, scores = _predicted(model.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=_SCHEMA)
 
-    return run
+    return trimmed(run)
 
 
 def _filter(model, column: int, least: float):
@@ -95,7 +96,7 @@ def _filter(model, column: int, least: float):
             names, scores = _predicted(model.value, batch.column(column))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def predict(spark: SparkSession, docs: DataFrame, network: ByteCNN | None) -> DataFrame:

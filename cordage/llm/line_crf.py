@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over the lines of a text, in numpy.
 
 Each line is bad (0) or good (1). A line's score for good is the sum of one weight per feature, where the features are
-the bins of its own measures and of the lines before and after it; a 2 x 2 table scores the step from line to line.
+the bins of its own measures and of the lines before and after it; a 2 x 2 table, fitted with the weights, scores the step from line to line.
 Forward-backward gives each line's marginal, and their mean by line length is the document's quality.
 """
 
@@ -30,6 +30,8 @@ BINS = 9
 #: Measures of a line: shares of upper (of letters), digits, marks, exclamation marks, bars, others; length; bytes per word;
 #: whether the line stood earlier in the text; class of the last byte; share of words that repeat one of the line.
 MEASURES = 11
+#: How strongly the steps are held small, of a likelihood in which all texts together weigh 1.
+STEP_KEEP = 0.05
 
 
 def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +112,11 @@ class LineCRF:
 
     def marginals(self, bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The probability of good of every line."""
-        out = np.zeros(len(bins))
+        return self._both_ways(bins, counts)[0]
+
+    def _both_ways(self, bins: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of good of every line, and the expected steps of every kind (from, to), each weighted as the line it leads to."""
+        out, steps = np.zeros(len(bins)), np.zeros((2, 2))
         a = np.exp(self.steps - self.steps.max())
         for index, live, s in self._chains(self._scores(self._features(bins, counts)), counts):
             n, length = s.shape
@@ -131,35 +137,48 @@ class LineCRF:
                 here = live[:, t]
                 out[index[here, t]] = m[here, 1]
                 if t:
+                    if weight is not None:
+                        pair = forward[:, t - 1, :, None] * a * (emit[:, t] * back)[:, None, :]
+                        pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
+                        steps += (pair * (weight[index[:, t]] * here)[:, None, None]).sum(axis=0)
                     b = (emit[:, t] * back) @ a.T
                     b /= np.maximum(b.sum(axis=1, keepdims=True), 1e-300)
                     back = np.where(here[:, None], b, back)
-        return out
+        return out, steps
 
     def fit(self, bins: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.08, keep: float = 2e-3) -> None:
-        """Maximum likelihood, with weights held small, where each line has its text's label. Each text counts alike, and
-        so do the labels together, by Adam over all texts."""
+        """Maximum likelihood of weights and steps together, all held small, where each line has its text's label. Each text counts alike, and
+        so do the labels together, by Adam over all texts. By these labels lines never leave their text's label, so that without the
+        pull to 0 the steps would grow for ever."""
         features = self._features(bins, counts)
         share = np.bincount(labels, minlength=2).astype(float)
         per_text = (len(labels) / np.maximum(share, 1) / max(1, (share > 0).sum()))[labels] / len(labels)
         line_label = np.repeat(labels, counts).astype(float)
         line_weight = np.repeat(per_text / counts, counts)
         flat = (np.arange(3)[None, :, None] * MEASURES + np.arange(MEASURES)[None, None]) * (BINS + 1) + features
-        state = np.zeros(self.weights.size + 1), np.zeros(self.weights.size + 1)
-        # By these labels lines never leave their text's label. The most likely steps would forbid it; these are the rates with
-        # one more step of every kind, at half their weight.
-        stay = np.diag(share) + 1.0 + np.array([[0.0, 1.0], [1.0, 0.0]])
-        self.steps = np.log(stay / stay.sum(axis=1, keepdims=True)) / 2
+        n = self.weights.size
+        state = np.zeros(n + 5), np.zeros(n + 5)
         for t in range(1, rounds + 1):
-            error = (line_label - self.marginals(bins, counts)) * line_weight
-            g = np.bincount(flat.ravel(), np.repeat(error, 3 * MEASURES), minlength=self.weights.size) - keep / 10 * self.weights.ravel()
-            g = np.append(g, error.sum())
+            g = self._gradient(bins, counts, line_label, line_weight, flat, keep)
             m, v = state
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-            self.weights += move[: self.weights.size].reshape(self.weights.shape)
-            self.bias += float(move[self.weights.size])
+            self.weights += move[:n].reshape(self.weights.shape)
+            self.bias += float(move[n])
+            self.steps += move[n + 1 :].reshape(2, 2)
+
+    def _gradient(self, bins: np.ndarray, counts: np.ndarray, line_label: np.ndarray, line_weight: np.ndarray, flat: np.ndarray, keep: float) -> np.ndarray:
+        """Of the weighted log-likelihood less the squares of weights and steps: by weight, by bias, by step. What was seen less what is expected."""
+        good, expected = self._both_ways(bins, counts, line_weight)
+        error = (line_label - good) * line_weight
+        inner = np.ones(len(bins), bool)
+        inner[np.cumsum(counts) - counts] = False
+        to = np.flatnonzero(inner)
+        label = line_label.astype(int)
+        seen = np.bincount(label[to - 1] * 2 + label[to], line_weight[to], minlength=4).reshape(2, 2)
+        by_weight = np.bincount(flat.ravel(), np.repeat(error, 3 * MEASURES), minlength=self.weights.size) - keep / 10 * self.weights.ravel()
+        return np.concatenate([by_weight, [error.sum()], (seen - expected - STEP_KEEP * self.steps).ravel()])
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Quality of every text: its lines' marginals, by length. An empty text's one empty line counts as one byte."""

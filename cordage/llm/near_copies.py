@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash radius cannot bring such texts together: at 0.8 fingerprints differ in 10 of 64 bits on average, and a radius that
-covers that meets every other text in any index of its blocks. So candidates are found by MinHash: 25 bands of 5 minima of the shingles' hashes,
-where a pair of similarity s shares a band with probability 1 - (1 - s^5)^25: 0.99995 at 0.8, more above. Candidates are
+This is the form of the SimHash operator that works to a similarity instead of a radius. SimHash fingerprints of the shingle sets, linked by the
+popcount range join of simhash.py, give the first candidates. A radius alone cannot bring all such texts together: at 0.8 fingerprints differ in 10 of 64 bits
+on average, and a radius that covers that meets every other text in any index of its blocks. What lies beyond is found by MinHash: 25 bands of 5 minima of the
+same hashes, where a pair of similarity s shares a band with probability 1 - (1 - s^5)^25: 0.99995 at 0.8, more above. Candidates of either kind are
 links only if their whole shingle sets (as 64-bit hashes) confirm it; texts of equal sets are one class from the start.
 
 The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by an
@@ -23,9 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import staged
+from cordage.llm.common import staged, trimmed
 from cordage.llm.components import components
-from cordage.llm.simhash import _LOWER
+from cordage.llm.simhash import _LOWER, folded, links
 from cordage.llm.suffix_dedup import _joined, _mixed
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
@@ -69,16 +70,17 @@ def _signatures(width: int, bands: int, rows: int):
         factors = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         terms = rng.integers(0, 1 << 63, bands * rows, np.uint64)
         for batch in _slices(batches):
-            found, offsets, classes = [], [0], []
+            found, offsets, classes, prints = [], [0], [], []
             for text in batch.column(2):
                 grams = shingles(text.as_py(), width)
                 classes.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                prints.append(folded(grams))
                 found += _bands(grams, factors, terms, bands)
                 offsets.append(len(found))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(classes)), lists], ["doc", "text_hash", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(classes)), pa.array(_signed(prints)), lists], ["doc", "text_hash", "cls", "fp", "bands"])
 
-    return run
+    return trimmed(run)
 
 
 def _sets(width: int):
@@ -87,7 +89,7 @@ def _sets(width: int):
             grams = [shingles(text.as_py(), width).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["cls", "grams"])
 
-    return run
+    return trimmed(run)
 
 
 def _place() -> tuple[Column, Column]:
@@ -103,25 +105,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return staged(both.filter(fit).filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "links")
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(cls, other): classes of one SimHash fingerprint with the least of them, and those least ones of fingerprints within 2 bits."""
+    heads = staged(classes.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
+    of = lambda fp, head: heads.select(F.col("fp").alias(fp), F.col("head").alias(head)).hint("merge")
+    across = links(heads).join(of("u", "cls"), "u").join(of("v", "other"), "v").select("cls", "other")
+    return classes.join(of("fp", "other"), "fp").filter("cls != other").select("cls", "other").unionAll(across)
+
+
 def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """cls, doc, text_hash (its least row's), root: the classes of equal shingle sets and the component of each."""
     base = docs.select(*_place(), F.col("text").cast("string").alias("text"))
-    prints = staged(base.mapInArrow(_signatures(width, bands, rows), "doc long, text_hash long, cls long, bands array<long>"), "signatures")
-    classes = staged(prints.groupBy("cls").agg(F.min(F.struct("doc", "text_hash")).alias("p"), F.any_value("bands").alias("bands")).select("cls", "p.*", "bands"), "classes")
+    prints = staged(base.mapInArrow(_signatures(width, bands, rows), "doc long, text_hash long, cls long, fp long, bands array<long>"), "signatures")
+    classes = staged(prints.groupBy("cls").agg(F.min(F.struct("doc", "text_hash")).alias("p"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).select("cls", "p.*", "fp", "bands"), "classes")
     placed = classes.select("cls", F.explode("bands").alias("band"))
     # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
     order = F.col("cls").bitwiseXOR(F.col("band"))
     hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1").select("band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("hub")), "hubs")
     # Merged at any size: sending the shared bands to every task would hold for small tables only.
     near = staged(placed.join(hubs.hint("merge"), "band").filter("cls != hub"), "near")
-    pairs = staged(near.select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-    # Only the texts of classes that share a band are read again, once for both comparisons.
-    named = staged(near.select("cls").unionAll(near.select(F.col("hub").alias("cls"))).distinct(), "named")
+    pairs = near.select("cls", F.col("hub").alias("other")).unionAll(_by_fingerprint(classes))
+    pairs = staged(pairs.select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct(), "pairs")
+    # Only the texts of classes that are in a pair are read again, once for both comparisons.
+    named = staged(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct(), "named")
     wanted = staged(classes.select("cls", "doc", "text_hash").join(named.hint("merge"), "cls"), "wanted")
     texts = base.join(wanted.hint("merge"), ["doc", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(width), "cls long, grams array<long>"), "sets")
-    links = _confirmed(pairs, sets, similarity)
-    roots = staged(components(links), "roots")
+    sure = _confirmed(pairs, sets, similarity)
+    roots = staged(components(sure), "roots")
 
     own = near.filter("n > 2").join(roots.withColumnsRenamed({"node": "cls", "root": "own"}).hint("merge"), "cls", "left")
     both = own.join(roots.withColumnsRenamed({"node": "hub", "root": "hubs"}).hint("merge"), "hub", "left")
@@ -130,15 +141,15 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
     other = members.select("band", F.col("cls").alias("v"), F.col("root").alias("v_root"), F.col("apart").alias("v_apart"))
     more = staged(lone.join(other.hint("merge"), "band").filter("u_root != v_root AND (u < v OR NOT v_apart)").select("u", "v").distinct(), "pairs")
     if more.limit(1).count():
-        roots = staged(components(links.unionAll(_confirmed(more, sets, similarity))), "roots")
+        roots = staged(components(sure.unionAll(_confirmed(more, sets, similarity))), "roots")
     return classes.join(roots.hint("merge"), classes.cls == roots.node, "left").select("cls", "doc", "text_hash", F.coalesce("root", "cls").alias("root"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, of one document per group of near copies: the one with the least id, by its text where ids are repeated."""
     found = groups(spark, docs, width, similarity, bands, rows)
-    kept = staged(found.groupBy("root").agg(F.min(F.struct("doc", "text_hash")).alias("p")).select(F.col("p.doc").alias("_doc"), F.col("p.text_hash").alias("_hash")), "kept")
-    doc, text_hash = _place()
-    rows_kept = docs.withColumns({"_doc": doc, "_hash": text_hash}).join(kept.hint("merge"), ["_doc", "_hash"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(*[c for c in ("source", "lang") if c in docs.columns] or ["doc_id"]))
-    return rows_kept.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    kept = staged(found.groupBy("root").agg(F.min(F.struct("doc", "text_hash")).alias("p")).select("p.doc", "p.text_hash"), "kept")
+    # The caller's columns stay together under one name, so that none can clash.
+    rows_kept = docs.select(*_place(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept.hint("merge"), ["doc", "text_hash"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc", "text_hash").orderBy(*[F.col(f"row.`{c}`") for c in ("source", "lang") if c in docs.columns] or ["doc"]))
+    return rows_kept.withColumn("nth", nth).filter("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ found by doubling steps, so a text of n words costs n log n at most.
 Defined cases: a null text counts as empty; a text without words has an empty fingerprint, and two empty ones
 have likeness 1; rows that repeat a doc_id share the next document, and where that is repeated its least text counts; a
 null doc_id comes before all others; positions beyond 16.7 million words of one text order alike; an empty table gives no rows;
-other columns are ignored.
+the id -2 ** 63 counts as null; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordage.llm.common import held_out
+from cordage.llm.common import held_out, trimmed
 from cordage.llm.line_crf import MEASURES, LineCRF, measures
 
 LEARN_DOCUMENTS = 2000
 #: Bytes of text measured at a time.
-STRETCH = 4_000_000
+STRETCH = 1_000_000
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _scorer(model):
                     texts, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=_SCHEMA)
 
-    return run
+    return trimmed(run)
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

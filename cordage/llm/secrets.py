@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordage.llm.automaton import END, Automaton, Rule
+from cordage.llm.common import trimmed
 
 #: The contract's kinds, in its order: a run's least length counts the run alone.
 BASE = [
@@ -30,7 +31,7 @@ MORE = [
     Rule("chat_token", r"xox[abprs]-", "[A-Za-z0-9-]", 10),
 ]
 #: Bytes scanned at a time.
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 
 
 def scan(automaton: Automaton, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -39,13 +40,15 @@ def scan(automaton: Automaton, texts: list[str]) -> list[list[tuple[int, int, in
     data = np.frombuffer(b"\xff".join(raw), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
     spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    points: dict[int, np.ndarray] = {}
     for start, end, rule in automaton.matches(data):
         i = int(np.searchsorted(ends, start, "right"))
         base = int(ends[i]) - len(raw[i])
         a, b = start - base, end - base
         if len(raw[i]) != len(texts[i]):
-            a = len(raw[i][:a].decode())
-            b = a + len(raw[i][start - base : end - base].decode())
+            if i not in points:  # code points before every byte of the text, counted once
+                points[i] = np.concatenate(([0], np.cumsum((data[base : ends[i]] & 0xC0) != 0x80)))
+            a, b = int(points[i][a]), int(points[i][b])
         spans[i].append((a, rule, b))
     for s in spans:
         s.sort()
@@ -78,7 +81,7 @@ def _scanner(automaton):
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types[1:], strict=True))], schema=_SCHEMA)
                 ids, texts, size = [], [], 0
 
-    return run
+    return trimmed(run)
 
 
 def find_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -24,12 +24,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordage.llm.common import staged
+from cordage.llm.common import staged, trimmed
 from cordage.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted at a time.
-_STRETCH = 1 << 16
+_STRETCH = 1 << 14
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes; 0 without any."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STRETCH):
+        counts += np.unpackbits(hashes[at : at + _STRETCH].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -44,12 +52,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), _STRETCH):
-        a, b = starts[at : at + _STRETCH].tolist(), ends[at : at + _STRETCH].tolist()
-        hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    return folded(np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
 def _fingerprints(width: int, seed: int):
@@ -58,7 +62,7 @@ def _fingerprints(width: int, seed: int):
             prints = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return run
+    return trimmed(run)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

@@ -16,7 +16,7 @@ A passage's first place, by (doc_id, word), stays; the others are for removal.
 
 Defined cases: null and empty texts and texts below 50 words have no passage; a passage may repeat inside one text, and may
 overlap itself; rows that repeat a doc_id are reported together, spans of all their texts; identical rows repeat each other, but
-both count as the first place; a null doc_id comes first and is reported as null; an empty table gives no rows; other columns are ignored.
+both count as the first place; a null doc_id comes first and is reported as null, and so is the id -2 ** 63; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import staged
+from cordage.llm.common import staged, trimmed
 
 PASSAGE, GRAM = 50, 10
 _NO_ID = -(1 << 63)
@@ -102,7 +102,7 @@ def _kept(passage: int, gram: int):
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int64))], ["key", "doc", "n"])
 
-    return run
+    return trimmed(run)
 
 
 _BLOCK = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("windows", pa.list_(pa.int64()))])
@@ -136,7 +136,7 @@ def _blocks(passage: int, gram: int):
             if out:
                 yield _written(out)
 
-    return run
+    return trimmed(run)
 
 
 def _written(rows: list[tuple]) -> pa.RecordBatch:

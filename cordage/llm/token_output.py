@@ -12,7 +12,7 @@ is stored once, beside the shards, and each tail says by hash which one its fram
 
 Defined cases: a null text counts as empty and gets the end id only; rows that repeat a doc_id are
 all written, next to each other, by text; a null doc_id is written first and read back as null; an
-empty table makes no shard and no rows; other columns are ignored.
+empty table makes no shard and no rows; the id -2 ** 63 stands for null in the index and is read back as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import new_path, staged, whole_parts
+from cordage.llm.common import new_path, staged, trimmed, whole_parts
 
 MAGIC = b"CTOK0001"
 RECORD = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids", "<u8")])
@@ -39,8 +39,8 @@ TAIL = "<32sQQ8s"
 NO_ID = -(1 << 63)
 #: Documents that the dictionary is trained on, at most, and ids of each.
 DICT_DOCUMENTS, DICT_IDS, DICT_BYTES = 2000, 2048, 65536
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a worker keeps, and characters that it encodes at a time.
+KEPT_WORDS, STRETCH = 700_000, 1_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -174,7 +174,7 @@ def _shard_writer(definition, dictionary, folder: str, end_id: int, level: int):
         compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         out, index, at, total, path = None, [], 0, 0, f"{folder}/shard-{uuid.uuid4().hex}.ctok"
         for batch in batches:
-            for ids, texts in _rows(batch, 4_000_000):
+            for ids, texts in _rows(batch, STRETCH):
                 frames = []
                 for doc_id, body in zip(ids, encoder.encode(texts), strict=True):
                     frame = compressor.compress(body + end)
@@ -193,7 +193,7 @@ def _shard_writer(definition, dictionary, folder: str, end_id: int, level: int):
             first, last = index[0][0], index[-1][0]
             yield pa.RecordBatch.from_pylist([{"path": path, "first_id": first, "last_id": last, "documents": len(index), "ids": total}], pa.schema(_MANIFEST))
 
-    return write
+    return trimmed(write)
 
 
 _MANIFEST = [("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())]
@@ -288,7 +288,7 @@ def _shard_reader(dictionary):
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema(_READ))
 
-    return read
+    return trimmed(read)
 
 
 _READ = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]

@@ -85,6 +85,36 @@ def brute(field, texts):
     return out
 
 
+def test_steps_gradient_by_differences():
+    """Of the log-likelihood by all labelings of two short texts."""
+    rng = np.random.default_rng(4)
+    bins, counts, labels = rng.integers(0, C.BINS, (7, C.MEASURES)).astype(np.uint8), np.array([4, 3]), np.array([1, 0])
+    field = C.LineCRF()
+    field.weights, field.bias, field.steps = rng.normal(0, 0.3, field.weights.shape), 0.2, rng.normal(0, 1, (2, 2))
+    line_label, line_weight = np.repeat(labels, counts).astype(float), np.repeat([0.6, 0.4], counts)
+    features = field._features(bins, counts)
+    flat = (np.arange(3)[None, :, None] * C.MEASURES + np.arange(C.MEASURES)[None, None]) * (C.BINS + 1) + features
+
+    def likelihood():
+        scores, total, at = field._scores(features), 0.0, 0
+        for n, label, w in zip(counts, labels, (0.6, 0.4), strict=True):
+            value = lambda y, at=at, n=n: sum(scores[at + t] * y[t] for t in range(n)) + sum(field.steps[y[t - 1], y[t]] for t in range(1, n))
+            every = [value([k >> t & 1 for t in range(n)]) for k in range(1 << n)]
+            total += w * (value([label] * n) - np.log(np.exp(every).sum()))
+            at += n
+        return total - C.STEP_KEEP / 2 * (field.steps**2).sum()
+
+    g = field._gradient(bins, counts, line_label, line_weight, flat, 0.0)[-4:].reshape(2, 2)
+    for i in range(2):
+        for j in range(2):
+            found = []
+            for sign in (1, -1):
+                field.steps[i, j] += sign * 1e-4
+                found.append(likelihood())
+                field.steps[i, j] -= sign * 1e-4
+            assert (found[0] - found[1]) / 2e-4 == pytest.approx(g[i, j], abs=1e-5)
+
+
 def test_marginals_by_all_labelings():
     rng = np.random.default_rng(2)
     field = C.LineCRF()

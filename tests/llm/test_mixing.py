@@ -73,3 +73,26 @@ def test_shards_draw_by_share(spark, sf):
     assert {r.sid: r["count"] for r in slots.groupBy("sid").count().collect()} == {s: q for s, q in quota.items() if q}
     sizes = [r["count"] for r in slots.groupBy("shard").count().orderBy("shard").collect()]
     assert all(abs(n - 64) <= 2 for n in sizes[:-1])
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["size", "copy", "turns", "_h", "_copy", "id", "hash", "row", "number", "t", "words", "whole", "sid"]
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7 + 1), f"s{i % 3}") for i in range(60)] + [(None, "x y", "s1"), (None, "x y", "s1"), (3, None, None)], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(n) for n in names])
+    rows = M.mixed_documents(spark, docs).collect()
+    assert rows and all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    assert M.mixed_documents(spark, docs.limit(0)).count() == 0
+
+
+def test_many_sources(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.concat(F.lit("host"), (F.col("id") % 300).cast("string")).alias("source"))
+    rows = M.taken_words(spark, docs).collect()
+    targets = plain_targets({f"host{k}": sum(i % 40 + 1 for i in range(900) if i % 300 == k) for k in range(300)})
+    assert len(rows) == 900 and all(r.target == pytest.approx(targets[r.source]) for r in rows)
+
+
+def test_permutations_differ_by_key(spark):
+    df = spark.range(1000).select(*[M.permuted(F.col("id"), F.lit(1000), F.lit(k)).alias(f"k{k}") for k in range(3)])
+    rows = df.collect()
+    steps = {(b.k0 - a.k0) % 1000 for a, b in zip(rows, rows[1:], strict=False)}
+    assert len(steps) > 400 and sum(r.k0 == r.k1 for r in rows) < 20  # no stride, and another order for another key

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
+import xxhash
 
 pytest.importorskip("cordage.llm")
 from pyspark.sql import functions as F
@@ -88,3 +91,46 @@ def test_order_counts_in_short_texts(spark):
     p = prints(spark, [" ".join(t) for t in texts] + [" ".join(t[len(t) // 2 :] + t[: len(t) // 2]) for t in texts])
     assert all(len({c >> 16 for c in f}) == len(f) == 64 for f in p)
     assert sum(likeness(a, b) for a, b in zip(p[:60], p[60:], strict=True)) / 60 < 0.55
+
+
+def plain_fingerprint(text):
+    """Order MinHash word by word: numbered k-mers, dealt to 64 buckets in a circle; from each bucket on the two least, in text order."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chained(values, size=8):
+        x = 42
+        for v in values:
+            x = xxhash.xxh64_intdigest((v % (1 << 8 * size)).to_bytes(size, "little"), x)
+        return x
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall("[^\x20\x09-\x0d]{1,16}", text or "")]
+    kmers = [chained(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [chained(words)] if words else []
+    seen, elements = Counter(), []
+    for at, k in enumerate(kmers):
+        name = signed(k) >> 24
+        numbered = xxhash.xxh64_intdigest(seen[name].to_bytes(4, "little"), xxhash.xxh64_intdigest((name % (1 << 64)).to_bytes(8, "little"), 42))
+        seen[name] += 1
+        elements.append((signed(numbered) >> 24, at))
+    elements.sort()
+    out = []
+    if len(elements) == 1:  # a text of one k-mer has one component
+        return [(elements[0][0] >> 34) % 64 * 65536 + chained([elements[0][0] << 24]) % 65536]
+    for place in range(-32, 32) if elements else []:
+        circle = [e for e in elements if e[0] >> 34 >= place] + [e for e in elements if e[0] >> 34 < place]
+        # The two least of each bucket on the way.
+        pair = sorted(circle[:2], key=lambda e: e[1])
+        out.append(place % 64 * 65536 + chained([e[0] << 24 for e in pair]) % 65536)
+    return sorted(out)
+
+
+def test_equals_plain_order_minhash(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(rng.choice([3, 40, 5000]))}" for _ in range(n)) for n in [0, 1, 2, 3, 4, 5, 9, 30, 70, 200, 900, 3000]]
+    texts += ["x" * 100, "a b c " * 500, "é ü\tñ\x0bö a"]
+    assert prints(spark, texts) == [plain_fingerprint(t) for t in texts]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 50000}" for i in range(120000))
+    a, b = prints(spark, [text, text])
+    assert a == b and len(a) == 64

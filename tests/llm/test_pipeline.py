@@ -11,7 +11,7 @@ pytest.importorskip("cordage.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import test_decontaminate
 import test_mixing
-import test_simhash
+import test_near_copies
 
 from cordage.llm import mixing
 from cordage.llm.common import staged
@@ -41,12 +41,10 @@ def test_language_keeps_what_has_letters(results):
 
 
 def test_one_of_each_group_stays(results):
+    """Of each group linked by a similarity of 0.8 over 5-word shingles, the least id."""
     rows = sorted(results[1].collect(), key=lambda r: r.doc_id)
-    prints = [test_simhash.plain_fingerprint(r.text) for r in rows]
-    roots = test_simhash.plain_components(prints)
-    want = {rows[i].doc_id for i in set(roots)}
-    got = [r.doc_id for r in results[2].collect()]
-    assert sorted(got) == sorted(want)
+    roots = test_near_copies.plain_groups([r.text for r in rows])
+    assert sorted(r.doc_id for r in results[2].collect()) == sorted(rows[i].doc_id for i in set(roots))
 
 
 def test_contaminated_documents_go(results, spark, sf):
@@ -91,3 +89,17 @@ def test_tokens_are_those_of_the_texts(results):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_empty_tables_and_odd_rows(spark, sf):
+    """Null ids and texts, repeated rows and clashing columns reach every stage by itself."""
+    odd = [(1, "the first of two texts that are the same in all its words", "a"), (1, "the first of two texts that are the same in all its words", "a"), (None, None, None), (None, "", "b"), (2, "another text of words that no other one has", None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "7 AS _nth", "8 AS _hit", "9 AS _kept", "10 AS size", "11 AS cls", "12 AS start")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        rows = stage(spark, docs, sf)
+        if name != "tokens":
+            assert rows.columns == docs.columns
+            assert all((r._nth, r._hit, r._kept, r.size, r.cls, r.start) == (7, 8, 9, 10, 11, 12) for r in rows.collect()), name
+        else:
+            assert rows.count() == 5
