@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cordage.llm.common import staged, table
+from cordage.llm.common import cleared, delete, staged, table
 from cordage.llm.decontaminate import without_contaminated
 from cordage.llm.language_id import in_known_language
 from cordage.llm.mixing import mixed_documents
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8; SimHash candidates and those beyond its radius) stays."""
     return without_near_copies(spark, docs)
 
 
@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: doc_id, start, n_tokens, ids_crc32."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows: doc_id, start, n_tokens, ids_crc32. What a stage wrote on its way is deleted once its result is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with cleared(spark) as written:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            result = written.pop()
+        if path:
+            delete(spark, path)
+        path = result
     return STAGES[-1][1](spark, docs, sf_dir)
