@@ -37,7 +37,8 @@ def cut_generic(type_text: Column) -> Column:
 
 
 def strip_frontmatter(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A---.*?\n---\n*".replace(".*?", r"[\s\S]*?"), "")
+    """Without the block between the first line's three hyphens and the next such line."""
+    return F.regexp_replace(text, r"\A---[\s\S]*?\n---\n*", "")
 
 
 def node_id(kind: Column, name: Column) -> Column:
@@ -49,8 +50,8 @@ def file_safe(name: Column) -> Column:
 
 
 def slug(title: Column, most: int = 40) -> Column:
-    """Small letters and digits, hyphens between, ``most`` characters."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\w\s-]", ""), r"[\s_]+", "-")
+    """Small letters and digits of any script, hyphens between, ``most`` characters."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s-]", ""), r"[\s_]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(words, "^-+|-+$", ""), 1, most), "-+$", "")
 
 

@@ -58,8 +58,8 @@ def scan_coverage(assets: DataFrame) -> DataFrame:
 
 def fallback_catalogue(assets: DataFrame, role: Column) -> DataFrame:
     """role, assets, mostly_stubs: a catalogue by name alone, and whether over half of the assets are stubs."""
-    most = F.count_if("is_stub").over(Window.partitionBy()) > F.floor(F.count("*").over(Window.partitionBy()) / 2)
-    return assets.withColumns({"role": role, "m": most}).groupBy("role").agg(F.count("*").alias("assets"), F.bool_or("m").alias("mostly_stubs"))
+    most = assets.agg((F.count_if("is_stub") > F.floor(F.count("*") / 2)).alias("mostly_stubs"))
+    return assets.groupBy(role.alias("role")).agg(F.count("*").alias("assets")).join(F.broadcast(most))
 
 
 def class_assets(classes: DataFrame, assets: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ plan; longer ones are cut by checkpoints. Only operators that return paths grow
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordage.plans.iterate import cut
+from cordage.plans.iterate import cut, numbered
 
 LAZY_ROUNDS = 4
 
@@ -42,9 +43,12 @@ def coupling(nodes: DataFrame, edges: DataFrame, exclude_kinds=("Inheritance",),
 
 def ranked(scores: DataFrame, min_score: int = 1, limit: int | None = None) -> DataFrame:
     """rank, name, score from the highest score on, ties by name. 0 or None: no limit."""
-    top = scores.filter(F.col("score") >= min_score).orderBy(F.desc("score"), "name")
-    top = top.limit(limit) if limit else top
-    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "name")).cast("long").alias("rank"), "name", "score")
+    rows = scores.filter(F.col("score") >= min_score)
+    order = [F.desc("score"), F.col("name")]
+    if not limit:
+        return numbered(rows.select("name", "score"), order, "rank").select("rank", "name", "score")
+    # The limit is the feature, and bounds the rows that are numbered together.
+    return rows.orderBy(*order).limit(limit).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "name", "score")
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -103,6 +107,35 @@ def cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
     return best.select("path", F.size("path").cast("long").alias("length"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """name, component (its least node), size, of every node that is on a cycle of any length.
+
+    Each node takes the least node that reaches it; those that reach that node back are its component. They leave, and so on with the rest.
+    Rounds grow with the length of shortest paths, not with cycles; the driver sees whether rows are left.
+    """
+    left, found = cut(trimmed(edges)), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("name")).union(left.select("dst")).distinct()
+        color = cut(nodes.withColumn("color", F.col("name")))
+        while True:
+            came = left.join(color.select(F.col("name").alias("src"), "color"), "src").groupBy(F.col("dst").alias("name")).agg(F.min("color").alias("least"))
+            after = cut(color.join(cut(came), "name", "left").select("name", F.least("color", "least").alias("color"), F.coalesce(F.col("least") < F.col("color"), F.lit(False)).alias("moved")))
+            color, moved = after.select("name", "color"), after.filter("moved")
+            if moved.isEmpty():
+                break
+        inside = left.join(color.select(F.col("name").alias("src"), "color"), "src").join(color.select(F.col("name").alias("dst"), F.col("color").alias("other")), "dst").filter("color = other")
+        roots = color.filter("name = color").select(F.col("name").alias("start"))
+        back = levels(inside.select("src", "dst"), roots, None, reverse=True).select("name", F.col("start").alias("component"))
+        members = cut(back.unionByName(roots.select(F.col("start").alias("name"), F.col("start").alias("component"))))
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("name")
+        left = cut(trimmed(left.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti")))
+    if found is None:
+        return left.select(F.col("src").alias("name"), F.col("dst").alias("component"), F.lit(0).cast("long").alias("size"))
+    sizes = cut(found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"))
+    return found.join(sizes, "component").select("name", "component", "size")
+
+
 def cycle_key(path: Column) -> Column:
     """The cycle's distinct nodes, sorted, joined by arrows."""
     return F.array_join(F.transform(F.array_sort(F.array_distinct(path)), lambda x: x.cast("string")), " → ")
@@ -125,16 +158,17 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "name", "left_semi")
 
 
-def levels(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """start, name, depth: what is reached from each start (column start) in 1 to ``depth`` steps, at the fewest; the start itself is left out."""
+def levels(edges: DataFrame, starts: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """start, name, depth: what is reached from each start (column start) in 1 to ``depth`` steps (None: any number), at the fewest; the start itself is left out."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.filter("src != dst").select(F.col(a).alias("name"), F.col(b).alias("next")).distinct()
+    # Every round joins the edges: they are made once.
+    step = cut(edges.filter("src != dst").select(F.col(a).alias("name"), F.col(b).alias("next")).distinct())
     seen = starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
+    frontier, lazy = seen, depth is not None and depth <= LAZY_ROUNDS
+    for d in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(step, "name").select("start", F.col("next").alias("name")).distinct()
         frontier = reached.join(seen.select("start", "name"), ["start", "name"], "left_anti").withColumn("depth", F.lit(d))
-        if depth > LAZY_ROUNDS:
+        if not lazy:
             frontier = cut(frontier)
             if frontier.isEmpty():
                 break
@@ -159,7 +193,7 @@ def impact_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFra
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, target: Column, depth: int = 10) -> DataFrame:
     """start, path, length of the shortest path to a node for which ``target`` (over column name) holds; of several the least path."""
-    step = edges.select(F.col("src").alias("name"), F.col("dst").alias("next")).distinct()
+    step = cut(edges.select(F.col("src").alias("name"), F.col("dst").alias("next")).distinct())
     frontier = starts.select("start", F.col("start").alias("name"), F.array("start").alias("path")).distinct()
     seen, hits = frontier.select("start", "name"), [frontier.filter(target)]
     for _ in range(depth):
@@ -192,7 +226,7 @@ def ancestor_chain(parents: DataFrame, starts: DataFrame, depth: int = 20) -> Da
     return reduce(DataFrame.unionAll, found)
 
 
-def descendants(bases: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def descendants(bases: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     """start, name, depth: subtypes by any base (bases: name, base), each at its least depth."""
     return levels(bases.select(F.col("base").alias("src"), F.col("name").alias("dst")), starts, depth)
 

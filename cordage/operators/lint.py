@@ -25,6 +25,11 @@ COLUMNS = ["rule_id", "severity", "cls", "method", "file_path", "detail"]
 
 #: Fix texts by rule; {cls} and {method} are filled in.
 FIXES = {
+    "UNI-PERF-001": "Look it up once, in Awake of {cls}, and keep the reference instead of asking in {method}.",
+    "UNI-PERF-002": "Take objects that {method} makes each frame from a pool, or make them once.",
+    "UNI-ASYNC-002": "Load before {method} begins, or load asynchronously and yield on that.",
+    "UE5-GAS-001": "Call CommitAbility in {cls}::{method} and end the ability where it fails.",
+    "UE5-GAS-002": "Find the actors or assets once, outside the ability, and pass them in.",
     "UE5-BASE-001": "Call Super::{method}(...) first in {cls}::{method}.",
     "UNI-ASYNC-001": "Yield inside the endless loop of {method}.",
     "AXM-PERF-001": "Look the child up once, when {cls} enters, and keep the pointer.",
@@ -169,19 +174,13 @@ def script_patterns(types: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(F.col("name").alias("cls"), F.explode(found).alias("m")).select("cls", "m.*")
 
 
-#: Rules over notes, for tables without code: id, severity, text that the body holds, fix.
-NOTE_RULES = [("DOC-SYM-001", "Error", "***", "Strip the symbols."), ("DOC-CAPS-001", "Warning", "!! ", None), ("DOC-TABLE-001", "Info", " | ", "Write sentences."), ("DOC-KEY-001", "Error", "token = ", None)]
-
-
-def document_issues(notes: DataFrame) -> DataFrame:
-    """rule_id, severity, subject, fix of notes (id, body), in one pass over the bodies."""
-    hits = F.filter(F.array(*[F.when(F.col("body").contains(t), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(x).cast("string").alias("fix"))) for r, s, t, x in NOTE_RULES]), lambda x: x.isNotNull())
-    return notes.select(F.col("id").alias("subject"), F.explode(hits).alias("m")).select("m.rule_id", "m.severity", "subject", "m.fix")
-
-
-def _note_sql() -> str:
-    text = lambda x: "NULL" if x is None else f"'{x}'"
-    return " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity, 'doc:' || doc_id AS subject, {text(x)} AS fix FROM documents WHERE contains(text, '{t}')" for r, s, t, x in NOTE_RULES)
+def all_issues(methods: DataFrame, members: DataFrame, files: DataFrame, assets: DataFrame, types: DataFrame, refs: DataFrame, known: DataFrame, cycles: DataFrame, engine_bases: list[str]) -> DataFrame:
+    """The issues of every rule, as a bag."""
+    parts = [unity_frame_rules(methods), unity_coroutine_rules(methods), broken_script_rule(refs, known), ue_rules(methods, members), blueprint_rules(assets, types, methods, engine_bases), axmol_rules(files, methods), cycle_rule(cycles)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-ORACLE_CTE = f"issue AS ({_note_sql()})"
+def watch_summary(issues: DataFrame) -> DataFrame:
+    """errors, warnings, cycles: what a change watch reports; cycles are counted apart."""
+    cycle = F.col("rule_id") == "GEN-ARCH-001"
+    return issues.agg(F.count_if((F.col("severity") == "Error") & ~cycle).alias("errors"), F.count_if((F.col("severity") == "Warning") & ~cycle).alias("warnings"), F.count_if(cycle).alias("cycles"))

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 def namespace_distribution(nodes: DataFrame, most: int = 60) -> DataFrame:
     """namespace ("(None)" where empty), types, names: sorted names, cut to ``most`` characters with dots."""
     ns = F.when(F.coalesce("namespace", F.lit("")) == "", "(None)").otherwise(F.col("namespace")).alias("namespace")
-    rows = nodes.groupBy(ns).agg(F.count("*").alias("types"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
-    return rows.withColumn("names", truncated(F.col("names"), most))
+    rows = nodes.select(ns, "name")
+    # No more names than characters are shown.
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("namespace").orderBy("name"))).filter(F.col("nth") <= most)
+    first = first.groupBy("namespace").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    counts = rows.groupBy("namespace").agg(F.count("*").alias("types"))
+    return counts.join(first, "namespace").select("namespace", "types", truncated(F.col("names"), most).alias("names"))
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -58,14 +62,28 @@ def first_role(assets: DataFrame, roles: DataFrame) -> DataFrame:
     return rows.groupBy("asset").agg(F.min_by("role", "pos").alias("role"))
 
 
-def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """stem, matched: the least right name (column cls) that contains the stem or is contained in it, letters in either case; "" where none.
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """a, b: where a (of ``short``) is part of b (of ``long``), by the beginning of a, three letters at most, among all such pieces of b."""
+    width = 3
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("b") - n + 1, F.lit(1))), lambda i: F.substring(F.col("b"), i, n))))
+    keyed = short.withColumn("piece", F.left("a", F.lit(width)))
+    return keyed.join(long.withColumn("piece", F.explode(F.array_distinct(pieces))), "piece").filter(F.contains("b", "a")).select("a", "b")
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """stem, cls: names of which one contains the other, letters in either case. Names meet by their first letters, so no two tables are
+    compared as wholes. An empty name matches nothing."""
+    stems, names = left.select("stem").distinct().withColumn("s", F.lower("stem")).filter("s != ''"), right.select("cls").distinct().withColumn("c", F.lower("cls")).filter("c != ''")
+    s, c = stems.select("s").distinct(), names.select("c").distinct()
+    down = _contained(c.select(F.col("c").alias("a")), s.select(F.col("s").alias("b"))).select(F.col("b").alias("s"), F.col("a").alias("c"))
+    up = _contained(s.select(F.col("s").alias("a")), c.select(F.col("c").alias("b"))).select(F.col("a").alias("s"), F.col("b").alias("c"))
+    return stems.join(down.union(up).distinct(), "s").join(names, "c").select("stem", "cls")
 
-    A blocked comparison of a stated, small query set (``right``) with all rows: the set is sent to every task, so it should be checked to be small.
-    """
-    r = F.broadcast(right.select("cls").distinct())
-    a, b = F.lower("stem"), F.lower("cls")
-    return left.join(r, a.contains(b) | b.contains(a), "left").groupBy("stem").agg(F.coalesce(F.min("cls"), F.lit("")).alias("matched"))
+
+def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """stem, matched: the least right name (column cls) that contains the stem or is contained in it, letters in either case; "" where none."""
+    found = name_pairs(left, right).groupBy("stem").agg(F.min("cls").alias("cls"))
+    return left.select("stem").distinct().join(found, "stem", "left").select("stem", F.coalesce("cls", F.lit("")).alias("matched"))
 
 
 def argmax(df: DataFrame, group: str, what: str, weight: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordage.functions.text import split_camel
+from cordage.plans.iterate import cut
 
 TITLE_WEIGHT, BODY_WEIGHT, K1, B = 10.0, 1.0, 1.2, 0.75
+regex_word = re.compile(r"[^\W_]+")
 
 
 def terms_of(text: Column) -> Column:
@@ -19,15 +21,21 @@ def terms_of(text: Column) -> Column:
 def bm25(notes: DataFrame, terms: list[str], kind: str | None = None, require_all: bool = False) -> DataFrame:
     """id, score (lower is better) of the notes (id, title, body) that hold a term, or all terms.
 
-    Term and length counts are array sizes in one pass over the texts; only matching notes reach the join with the terms' document
-    counts, one row per term. Statistics cover all notes, whatever their kind.
+    Each text is read once: its words are counted, and its words that are a term. Only those counts go on, and only matching notes reach
+    the join with the terms' document counts, one row per term. Statistics cover all notes, whatever their kind.
     """
     words = sorted({t.lower() for t in terms})
-    of = lambda c, t: F.size(F.filter(c, lambda w: w == t)).cast("double")
-    rows = notes.select("id", *(["type"] if kind else []), terms_of(F.col("title")).alias("a"), terms_of(F.col("body")).alias("b"))
-    counts = F.transform(F.array(*[F.lit(w) for w in words]), lambda t: F.struct(t.alias("term"), (of(F.col("a"), t) * TITLE_WEIGHT + of(F.col("b"), t) * BODY_WEIGHT).alias("f")))
-    rows = rows.select("id", *(["type"] if kind else []), (F.size("a") + F.size("b")).cast("double").alias("length"), counts.alias("counts"))
-    held = rows.select("id", *(["type"] if kind else []), "length", F.explode("counts").alias("c")).select("*", "c.*").drop("c")
+    word = r"[\p{L}\p{N}]+"
+    counted = lambda c, p: F.coalesce(F.regexp_count(F.lower(c), F.lit(p)), F.lit(0)).cast("double")
+
+    def of(t: str) -> Column:
+        if not regex_word.fullmatch(t):
+            return F.lit(0.0)  # no word of a text is equal to it
+        p = rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"
+        return counted("title", p) * TITLE_WEIGHT + counted("body", p) * BODY_WEIGHT
+
+    rows = notes.select("id", *(["type"] if kind else []), (counted("title", word) + counted("body", word)).alias("length"), F.array(*[F.struct(F.lit(t).alias("term"), of(t).alias("f")) for t in words]).alias("counts"))
+    held = cut(rows).select("id", *(["type"] if kind else []), "length", F.explode("counts").alias("c")).select("*", "c.*").drop("c")
     stats = held.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.count_if(F.col("f") > 0).alias("d"))
     idf = F.ln((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     stats = stats.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), (F.col("total") / F.col("n")).alias("average"))

@@ -1,5 +1,7 @@
-"""The model relations, bound to tables of orders, suppliers, documents and pages, and the same in SQL.
+"""The model relations, bound to tables of orders, customers, documents and pages, and the same in SQL.
 
+The graph: customers are types, and the orders of one day and priority follow each other, each leading from its customer to the next
+one's. All orders count. A customer has about ten, so the graph stays sparse at every size without a limit on its edges.
 The SQL texts are common table expressions for DuckDB; each query's SQL starts with those that it needs.
 """
 
@@ -16,34 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def type_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers: name, namespace (nation), file_path (region)."""
-    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return rows.select(F.col("s_suppkey").alias("name"), F.col("n_name").alias("namespace"), F.col("r_name").alias("file_path"))
+    """Customers: name, namespace (nation), file_path (region)."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return rows.select(F.col("c_custkey").alias("name"), F.col("n_name").alias("namespace"), F.col("r_name").alias("file_path"))
 
 
-def successor_edges(lineitem: DataFrame, kinds: bool = False) -> DataFrame:
-    """src, dst, w: suppliers that follow each other in an order, of each source the 3 most frequent; with ``kinds`` also kind by return flag."""
-    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    kind = F.create_map(F.lit("A"), F.lit("Field"), F.lit("N"), F.lit("Property"), F.lit("R"), F.lit("Parameter"))[F.col("l_returnflag")]
-    keys = ["src", "dst", "kind"] if kinds else ["src", "dst"]
-    rows = lineitem.select(F.col("l_suppkey").alias("src"), after.alias("dst"), kind.alias("kind")).filter("dst IS NOT NULL AND src != dst")
-    rows = rows.groupBy(*keys).agg(F.count("*").alias("w"))
-    nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), *keys[1:]))
-    return rows.withColumn("nth", nth).filter("nth <= 3").drop("nth")
+def successor_edges(orders: DataFrame, kinds: bool = False) -> DataFrame:
+    """src, dst, w: customers whose orders follow each other on a day, within a priority; with ``kinds`` also kind by that priority."""
+    after = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority", "o_orderdate").orderBy("o_orderkey"))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for x in ("1", "Field", "2", "Property", "3", "Parameter", "4", "Inheritance")])[F.substring("o_orderpriority", 1, 1)], F.lit("Field"))
+    rows = orders.select(F.col("o_custkey").alias("src"), after.alias("dst"), kind.alias("kind")).filter("dst IS NOT NULL AND src != dst")
+    return rows.groupBy(*(["src", "dst", "kind"] if kinds else ["src", "dst"])).agg(F.count("*").alias("w"))
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
 
 
 def type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return successor_edges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag"))
+    return successor_edges(ordered(spark, sf_dir))
 
 
 def kind_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, kind, member, ord: successor edges by kind, and inheritance from every third supplier to the one before it in its region."""
-    own = successor_edges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag"), kinds=True)
-    before = F.lag("name").over(Window.partitionBy("file_path").orderBy("name"))
-    bases = type_nodes(spark, sf_dir).withColumn("dst", before).filter("dst IS NOT NULL AND name % 3 = 0")
-    rows = own.select("src", "dst", "kind").unionByName(bases.select(F.col("name").alias("src"), "dst", F.lit("Inheritance").alias("kind")))
-    return rows.withColumn("member", F.concat_ws("_", F.lower("kind"), F.col("dst").cast("string"))).withColumn("ord", F.col("src") * 1000 + F.col("dst"))
+    """src, dst, kind, member, ord."""
+    own = successor_edges(ordered(spark, sf_dir), kinds=True).select("src", "dst", "kind")
+    return own.withColumn("member", F.concat_ws("_", F.lower("kind"), F.col("dst").cast("string"))).withColumn("ord", F.col("src") * 1000000 + F.col("dst"))
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,24 +68,20 @@ def wiki_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("type"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("body"), F.md5(F.col("text").cast("binary")).alias("fingerprint"), "doc_id", "source")
 
 
-NODES = "node AS (SELECT s_suppkey AS name, n_name AS namespace, r_name AS file_path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+NODES = "node AS (SELECT c_custkey AS name, n_name AS namespace, r_name AS file_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 def edges_sql(name: str = "edge", where: str = "TRUE", kinds: bool = False) -> str:
     k = ", kind" if kinds else ""
-    kind = ", CASE l_returnflag WHEN 'A' THEN 'Field' WHEN 'N' THEN 'Property' WHEN 'R' THEN 'Parameter' END AS kind" if kinds else ""
+    kind = ", CASE substring(o_orderpriority, 1, 1) WHEN '2' THEN 'Property' WHEN '3' THEN 'Parameter' WHEN '4' THEN 'Inheritance' ELSE 'Field' END AS kind" if kinds else ""
     return (
-        f"{name}_0 AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst{kind} FROM lineitem WHERE {where}), "
-        f"{name}_1 AS (SELECT src, dst{k}, count(*) AS w FROM {name}_0 WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst{k}), "
-        f"{name} AS (SELECT src, dst{k}, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst{k}) AS nth FROM {name}_1) WHERE nth <= 3)"
+        f"{name}_0 AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) AS dst{kind} FROM orders WHERE {where}), "
+        f"{name} AS (SELECT src, dst{k}, count(*) AS w FROM {name}_0 WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst{k})"
     )
 
 
 EDGES = edges_sql()
-KIND_EDGES = (
-    NODES + ", " + edges_sql("own", kinds=True) + ", base AS (SELECT name AS src, dst, 'Inheritance' AS kind FROM (SELECT name, lag(name) OVER (PARTITION BY file_path ORDER BY name) AS dst FROM node) WHERE dst IS NOT NULL AND src % 3 = 0), "
-    "kedge AS (SELECT *, lower(kind) || '_' || dst AS member, src * 1000 + dst AS ord FROM (SELECT src, dst, kind FROM own UNION ALL SELECT src, dst, kind FROM base))"
-)
+KIND_EDGES = NODES + ", " + edges_sql("own", kinds=True) + ", kedge AS (SELECT src, dst, kind, lower(kind) || '_' || dst AS member, src * 1000000 + dst AS ord FROM own)"
 HIERARCHY = "hier AS (SELECT 'c:' || c_custkey AS name, 'n:' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation)"
 CALLS = (
     "call AS (SELECT event_type AS src, dst, CASE WHEN b % 2 = 0 THEN 'switch: v' || b ELSE 'if v' || b END AS condition, event_id AS ord, user_id FROM "

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from cordage.functions import text as T
 from cordage.operators import compose as C
+from cordage.operators import filters as X
 from cordage.operators import gameplay as P
 from cordage.operators import graph as G
 from cordage.operators import lint as L
 from cordage.operators import reports as R
 from cordage.operators import search as S
 from cordage.plans import bindings as B
+from cordage.plans import code as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,11 +33,11 @@ def query(sql: str | None = None):
     return add
 
 
-START = "SELECT min(s_suppkey) AS start FROM supplier"
+START = "SELECT min(c_custkey) AS start FROM customer"
 
 
 def _starts(spark, sf, n: int = 1) -> DataFrame:
-    return B.table(spark, sf, "supplier").agg(F.min("s_suppkey").alias("m")).select(F.explode(F.array(*[F.col("m") + i for i in range(n)])).alias("start"))
+    return B.table(spark, sf, "customer").agg(F.min("c_custkey").alias("m")).select(F.explode(F.array(*[F.col("m") + i for i in range(n)])).alias("start"))
 
 
 SCORE = "score AS (SELECT name, coalesce(n, 0) AS score FROM (SELECT DISTINCT name FROM node) LEFT JOIN (SELECT dst AS name, count(*) AS n FROM (SELECT DISTINCT src, dst, kind FROM kedge WHERE kind <> 'Inheritance' AND src <> dst) GROUP BY dst) USING (name))"
@@ -98,12 +100,11 @@ def dead_nodes(spark, sf):
     return G.dead_nodes(B.type_nodes(spark, sf), B.type_edges(spark, sf)).select("name")
 
 
-REFS = "ref AS (SELECT l_suppkey AS name, count(*) AS total FROM lineitem WHERE l_quantity >= 49 AND l_shipdate >= DATE '1998-06-15' GROUP BY l_suppkey)"
+REFS = "ref AS (SELECT user_id AS name, count(*) AS total FROM events GROUP BY user_id)"
 
 
 def _refs(spark, sf):
-    rows = B.table(spark, sf, "lineitem").filter(f"l_quantity >= 49 AND l_shipdate >= DATE'{B.CUTOFF}'")
-    return rows.groupBy(F.col("l_suppkey").alias("name")).agg(F.count("*").alias("total"))
+    return B.table(spark, sf, "events").groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("total"))
 
 
 @query(f"WITH {B.NODES}, {B.EDGES}, {REFS} SELECT name FROM node WHERE name NOT IN (SELECT dst FROM edge) AND name NOT IN (SELECT name FROM ref)")
@@ -148,9 +149,34 @@ def induced_cycle_subgraph(spark, sf):
     return G.induced(e.select("src", "dst"), G.cycle_members(G.cycles(e, 4)))
 
 
-@query(f"WITH {B.NODES}, {B.EDGES} SELECT name FROM node WHERE name IN (SELECT src FROM edge WHERE w >= 2 UNION SELECT dst FROM edge WHERE w >= 2)")
+@query(f"WITH {B.NODES}, {B.EDGES} SELECT name FROM node WHERE name IN (SELECT src FROM edge UNION SELECT dst FROM edge)")
 def no_isolated(spark, sf):
-    return G.without_isolated(B.type_nodes(spark, sf), B.type_edges(spark, sf).filter("w >= 2")).select("name")
+    return G.without_isolated(B.type_nodes(spark, sf), B.type_edges(spark, sf)).select("name")
+
+
+REACH = "reach AS (SELECT DISTINCT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src), scc AS (SELECT a.src AS name, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
+
+
+@query(f"WITH RECURSIVE {B.EDGES}, {REACH} SELECT name, component, count(*) OVER (PARTITION BY component) AS size FROM scc")
+def cycle_components(spark, sf):
+    return G.strong_components(B.type_edges(spark, sf))
+
+
+@query(f"WITH RECURSIVE {B.EDGES}, {REACH} SELECT src, dst FROM edge JOIN scc a ON a.name = src JOIN scc b ON b.name = dst WHERE a.component = b.component")
+def edges_on_cycles(spark, sf):
+    e, c = B.type_edges(spark, sf).select("src", "dst"), G.strong_components(B.type_edges(spark, sf))
+    ends = e.join(c.select(F.col("name").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("name").alias("dst"), F.col("component").alias("b")), "dst")
+    return ends.filter("a = b").select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {B.EDGES}, {_cycles_sql()} SELECT count(*) FILTER (len(path) <= 2) AS direct, count(*) FILTER (len(path) > 2) AS indirect FROM cyc")
+def cycle_partition(spark, sf):
+    return X.cycle_partition(G.cycles(B.type_edges(spark, sf), 4))
+
+
+@query(f"WITH {B.NODES} SELECT name, namespace FROM node WHERE contains(lower(namespace), 'n_1')")
+def namespace_filter(spark, sf):
+    return X.in_namespace(B.type_nodes(spark, sf), "N_1").select("name", "namespace")
 
 
 @query(f"WITH {B.EDGES} SELECT dst AS name, count(DISTINCT src) AS referrers FROM edge WHERE src <> dst GROUP BY dst")
@@ -173,25 +199,25 @@ def impact_paths(spark, sf):
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "<").alias("path"), "depth", "recursive")
 
 
-@query(f"WITH RECURSIVE {B.EDGES}, {_levels_sql('edge', 'SELECT s_suppkey AS start FROM supplier', 2, 'dst', 'src')} SELECT start AS name, count(*) AS affected FROM lev GROUP BY start")
+@query(f"WITH RECURSIVE {B.EDGES}, {_levels_sql('edge', 'SELECT c_custkey AS start FROM customer', 2, 'dst', 'src')} SELECT start AS name, count(*) AS affected FROM lev GROUP BY start")
 def impact_counts_all(spark, sf):
-    starts = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("start"))
+    starts = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("start"))
     return G.levels(B.type_edges(spark, sf), starts, 2, reverse=True).groupBy(F.col("start").alias("name")).agg(F.count("*").alias("affected"))
 
 
-EXTERNAL = "ext AS (SELECT DISTINCT l_partkey + 1000000000 AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1)"
+EXTERNAL = "ext AS (SELECT o_orderkey + 1000000000 AS src, o_custkey AS dst FROM orders)"
 
 
 @query(f"WITH RECURSIVE {B.EDGES}, {EXTERNAL}, alle AS (SELECT src, dst FROM edge UNION ALL SELECT src, dst FROM ext), {_levels_sql('alle', START, 2, 'dst', 'src')} SELECT start, name, depth FROM lev")
 def impact_with_assets(spark, sf):
-    assets = B.table(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 1").select((F.col("l_partkey") + 1000000000).alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    assets = B.table(spark, sf, "orders").select((F.col("o_orderkey") + 1000000000).alias("src"), F.col("o_custkey").alias("dst"))
     return G.levels(B.type_edges(spark, sf).select("src", "dst").unionByName(assets), _starts(spark, sf), 2, reverse=True)
 
 
 @query(f"WITH RECURSIVE {B.HIERARCHY}, up AS (SELECT name AS start, parent AS ancestor, 1 AS depth FROM hier WHERE name LIKE 'c:%' UNION ALL SELECT start, parent, depth + 1 FROM up JOIN hier ON hier.name = ancestor WHERE depth < 3) SELECT start, CAST(depth AS BIGINT) AS depth, ancestor FROM up")
 def ancestor_chain(spark, sf):
     h = B.hierarchy(spark, sf)
-    return G.ancestor_chain(h, h.filter(F.col("name").startswith("c:")).select(F.col("name").alias("start")), 3)
+    return G.ancestor_chain(h, h.filter(F.col("name").startswith("c:")).select(F.col("name").alias("start")))
 
 
 @query(f"WITH RECURSIVE {B.HIERARCHY}, d AS (SELECT parent AS start, name, 1 AS depth FROM hier WHERE parent LIKE 'r:%' UNION ALL SELECT start, hier.name, depth + 1 FROM d JOIN hier ON parent = d.name WHERE depth < 3) SELECT start, name, CAST(depth AS BIGINT) AS depth FROM d")
@@ -204,7 +230,7 @@ def descendant_tree(spark, sf):
 @query(f"WITH RECURSIVE {B.HIERARCHY}, d AS (SELECT parent AS start, name FROM hier UNION SELECT start, hier.name FROM d JOIN hier ON parent = d.name) SELECT start, count(*) AS descendants, min(name) AS first_name FROM d GROUP BY start")
 def transitive_closure(spark, sf):
     h = B.hierarchy(spark, sf)
-    found = G.descendants(h.withColumnRenamed("parent", "base"), h.select(F.col("parent").alias("start")).distinct(), 3)
+    found = G.descendants(h.withColumnRenamed("parent", "base"), h.select(F.col("parent").alias("start")).distinct(), None)
     return found.groupBy("start").agg(F.count("*").alias("descendants"), F.min("name").alias("first_name"))
 
 
@@ -212,13 +238,16 @@ def transitive_closure(spark, sf):
 def kind_by_ancestor(spark, sf):
     h = B.hierarchy(spark, sf)
     roots = spark.createDataFrame([("r:0", "ability"), ("r:2", "effect"), ("r:3", "attribute")], "name string, kind string")
-    return G.kind_by_ancestor(h, h.filter(F.col("name").startswith("c:")).select(F.col("name").alias("start")), roots, 3)
+    return G.kind_by_ancestor(h, h.filter(F.col("name").startswith("c:")).select(F.col("name").alias("start")), roots)
+
 
+THREE = "SELECT min(c_custkey) + i AS start FROM customer, range(3) r(i) GROUP BY i"
 
-@query(f"WITH RECURSIVE {B.EDGES}, t AS (SELECT max(s_suppkey) - 1 AS goal FROM supplier), st AS (SELECT min(s_suppkey) + i AS start FROM supplier, range(3) r(i) GROUP BY i), p AS (SELECT start, start AS cur, [start] AS path FROM st UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN edge ON src = cur WHERE len(path) < 8 AND NOT list_contains(path, dst) AND cur <> (SELECT goal FROM t)), h AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS nth FROM p WHERE cur = (SELECT goal FROM t)) SELECT start, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS length FROM h WHERE nth = 1")
+
+@query(f"WITH RECURSIVE {B.EDGES}, t AS (SELECT max(c_custkey) - 1 AS goal FROM customer), {_levels_sql('edge', THREE, 10)}, p AS (SELECT start, start AS cur, [start] AS path FROM ({THREE}) UNION ALL SELECT p.start, e.dst, list_append(path, e.dst) FROM p JOIN edge e ON e.src = cur JOIN lev l ON l.start = p.start AND l.name = e.dst AND l.depth = len(path) WHERE cur <> (SELECT goal FROM t)), h AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS nth FROM p WHERE cur = (SELECT goal FROM t)) SELECT start, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS length FROM h WHERE nth = 1")
 def shortest_call_path(spark, sf):
-    goal = B.table(spark, sf, "supplier").agg((F.max("s_suppkey") - 1).alias("g")).first()["g"]
-    found = G.shortest_paths(B.type_edges(spark, sf), _starts(spark, sf, 3), F.col("name") == goal, 7)
+    goal = B.table(spark, sf, "customer").agg((F.max("c_custkey") - 1).alias("g")).first()["g"]
+    found = G.shortest_paths(B.type_edges(spark, sf), _starts(spark, sf, 3), F.col("name") == goal, 10)
     return found.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
 
 
@@ -242,12 +271,11 @@ def switch_dispatch(spark, sf):
     return G.switch_dispatch(B.call_sites(spark, sf)).withColumn("targets", F.array_join("targets", ","))
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS cls, l_partkey AS name FROM lineitem WHERE l_quantity > 45), c AS (SELECT l_orderkey AS ord, l_suppkey AS caller_cls, l_partkey AS callee_method FROM lineitem WHERE l_linenumber = 1), o AS (SELECT name, min(cls) AS owner FROM m GROUP BY name HAVING count(*) = 1) SELECT callee_method, caller_cls, ord, coalesce(owner, caller_cls) AS callee_cls FROM c LEFT JOIN o ON name = callee_method")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS cls, l_orderkey AS name FROM lineitem), o AS (SELECT name, min(cls) AS owner FROM m GROUP BY name HAVING count(*) = 1) SELECT l_orderkey AS callee_method, l_partkey AS caller_cls, l_linenumber AS ord, coalesce(owner, l_partkey) AS callee_cls FROM lineitem LEFT JOIN o ON name = l_orderkey")
 def unique_owner_resolution(spark, sf):
     li = B.table(spark, sf, "lineitem")
-    methods = li.filter("l_quantity > 45").select(F.col("l_suppkey").alias("cls"), F.col("l_partkey").alias("name")).distinct()
-    calls = li.filter("l_linenumber = 1").select(F.col("l_partkey").alias("callee_method"), F.col("l_suppkey").alias("caller_cls"), F.col("l_orderkey").alias("ord"))
-    return G.resolve_calls(calls, methods)
+    calls = li.select(F.col("l_orderkey").alias("callee_method"), F.col("l_partkey").alias("caller_cls"), F.col("l_linenumber").alias("ord"))
+    return G.resolve_calls(calls, li.select(F.col("l_suppkey").alias("cls"), F.col("l_orderkey").alias("name")))
 
 
 @query(f"WITH {B.CALLS} SELECT caller_cls, caller_method, ord FROM (SELECT user_id AS caller_cls, src AS caller_method, ord, row_number() OVER (PARTITION BY user_id, src ORDER BY ord) AS nth FROM call WHERE dst = 'error' AND (user_id % 3 = 0 OR condition = 'if v1')) WHERE nth = 1")
@@ -344,11 +372,11 @@ def test_scope(spark, sf):
 
 
 def _snapshots(spark, sf):
-    li = B.table(spark, sf, "lineitem")
-    return [B.successor_edges(li.filter(f"l_shipdate {op} DATE'{B.CUTOFF}'")) for op in ("<", ">=")]
+    o = B.ordered(spark, sf)
+    return [B.successor_edges(o.filter(f"o_orderdate {op} DATE'{B.CUTOFF}'")) for op in ("<", ">=")]
 
 
-SNAPSHOTS = B.edges_sql("ea", f"l_shipdate < DATE '{B.CUTOFF}'") + ", " + B.edges_sql("eb", f"l_shipdate >= DATE '{B.CUTOFF}'")
+SNAPSHOTS = B.edges_sql("ea", f"o_orderdate < DATE '{B.CUTOFF}'") + ", " + B.edges_sql("eb", f"o_orderdate >= DATE '{B.CUTOFF}'")
 
 
 @query(f"WITH {SNAPSHOTS}, a AS (SELECT DISTINCT dst AS name FROM ea), b AS (SELECT DISTINCT dst AS name FROM eb) SELECT name, 'added' AS change FROM b WHERE name NOT IN (SELECT name FROM a) UNION ALL SELECT name, 'removed' FROM a WHERE name NOT IN (SELECT name FROM b)")
@@ -378,9 +406,9 @@ def diff_total_reach(spark, sf):
     return G.coupling_movers(a, b, 5).agg(F.sum("after").alias("reach"))
 
 
-@query(f"WITH RECURSIVE {B.EDGES}, r0 AS (SELECT src, dst, CASE WHEN w % 2 = 0 THEN 'inherits' ELSE 'depends_on' END AS relation FROM edge), {_levels_sql('r0', START, 2)}, cur AS (SELECT start, name, depth FROM lev UNION ALL SELECT start, start, 0 FROM ({START})) SELECT l.start, l.name, min(relation) AS relation, l.depth FROM lev l JOIN r0 ON r0.dst = l.name JOIN cur ON cur.start = l.start AND cur.name = r0.src AND cur.depth = l.depth - 1 GROUP BY l.start, l.name, l.depth")
+@query(f"WITH RECURSIVE {B.EDGES}, r0 AS (SELECT src, dst, CASE WHEN (src + dst) % 2 = 0 THEN 'inherits' ELSE 'depends_on' END AS relation FROM edge), {_levels_sql('r0', START, 2)}, cur AS (SELECT start, name, depth FROM lev UNION ALL SELECT start, start, 0 FROM ({START})) SELECT l.start, l.name, min(relation) AS relation, l.depth FROM lev l JOIN r0 ON r0.dst = l.name JOIN cur ON cur.start = l.start AND cur.name = r0.src AND cur.depth = l.depth - 1 GROUP BY l.start, l.name, l.depth")
 def related_nodes(spark, sf):
-    e = B.type_edges(spark, sf).select("src", "dst", F.when(F.col("w") % 2 == 0, "inherits").otherwise("depends_on").alias("relation"))
+    e = B.type_edges(spark, sf).select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, "inherits").otherwise("depends_on").alias("relation"))
     return G.related(e, _starts(spark, sf), 2)
 
 
@@ -389,41 +417,74 @@ def neighbourhood_graph(spark, sf):
     return G.neighbourhood(B.type_edges(spark, sf).select("src", "dst"), _starts(spark, sf), 3, 20)
 
 
-LINT = L.ORACLE_CTE
+LINT = f"{B.EDGES}, {_cycles_sql()}, {K.ISSUES}"
+
+
+def _issues(spark, sf):
+    refs = B.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("guid"), F.col("l_orderkey").cast("string").alias("asset"))
+    known = B.table(spark, sf, "part").filter("p_size <= 45").select(F.col("p_partkey").cast("string").alias("guid"))
+    cycles = G.cycles(B.type_edges(spark, sf), 4)
+    return L.all_issues(K.methods(spark, sf), K.members(spark, sf), K.files(spark, sf), K.assets(spark, sf), K.types(spark, sf), refs, known, cycles, K.ENGINE_BASES)
+
+
+FIXABLE = "rule_id IN (" + ", ".join(f"'{r}'" for r in L.FIXES) + ")"
 
 
-@query(f"WITH {LINT} SELECT rule_id, severity, subject FROM issue")
+@query(f"WITH RECURSIVE {LINT} SELECT rule_id, severity, cls, method, file_path, detail FROM issue")
 def lint_issues(spark, sf):
-    return L.document_issues(B.wiki_nodes(spark, sf)).select("rule_id", "severity", "subject")
+    return _issues(spark, sf)
 
 
-@query(f"WITH {LINT} SELECT severity, count(*) AS issues, count(DISTINCT subject) AS subjects FROM issue GROUP BY severity")
+@query(f"WITH RECURSIVE {LINT} SELECT severity, count(*) AS issues, count(DISTINCT cls) AS subjects FROM issue GROUP BY severity")
 def lint_by_severity(spark, sf):
-    return L.document_issues(B.wiki_nodes(spark, sf)).groupBy("severity").agg(F.count("*").alias("issues"), F.countDistinct("subject").alias("subjects"))
+    return _issues(spark, sf).groupBy("severity").agg(F.count("*").alias("issues"), F.countDistinct("cls").alias("subjects"))
 
 
-@query(f"WITH {LINT} SELECT rule_id, subject, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY subject) AS nth FROM issue) WHERE nth <= 10")
-def lint_top_per_rule(spark, sf):
-    return G.top_per_group(L.document_issues(B.wiki_nodes(spark, sf)).select("rule_id", "subject"), "rule_id", [F.col("subject")], 10)
+@query(f"WITH RECURSIVE {LINT} SELECT rule_id, count(*) AS issues, count(DISTINCT cls) AS subjects, CAST(max(length(detail)) AS BIGINT) AS longest FROM issue GROUP BY rule_id")
+def lint_by_rule(spark, sf):
+    return _issues(spark, sf).groupBy("rule_id").agg(F.count("*").alias("issues"), F.countDistinct("cls").alias("subjects"), F.max(F.length("detail")).cast("long").alias("longest"))
 
 
-@query(f"WITH {LINT} SELECT rule_id AS section, CAST(least(count(*), 5) AS BIGINT) AS shown, CAST(greatest(count(*) - 5, 0) AS BIGINT) AS omitted FROM issue GROUP BY rule_id")
+@query(f"WITH RECURSIVE {LINT} SELECT severity, rule_id, cls, method, file_path, detail, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY rule_id, cls, method, file_path, detail) AS nth FROM issue) WHERE nth <= 10")
+def lint_top_per_severity(spark, sf):
+    return G.top_per_group(_issues(spark, sf), "severity", [F.col(c) for c in ("rule_id", "cls", "method", "file_path", "detail")], 10)
+
+
+@query(f"WITH RECURSIVE {LINT} SELECT rule_id AS section, CAST(least(count(*), 5) AS BIGINT) AS shown, CAST(greatest(count(*) - 5, 0) AS BIGINT) AS omitted FROM issue GROUP BY rule_id")
 def lint_sections(spark, sf):
-    return R.capped_sections(L.document_issues(B.wiki_nodes(spark, sf)).withColumnRenamed("rule_id", "section"), "section", [F.col("subject")], 5)
+    return R.capped_sections(_issues(spark, sf).withColumnRenamed("rule_id", "section"), "section", [F.col("cls")], 5)
 
 
-@query(f"WITH {LINT} SELECT count(*) FILTER (fix IS NOT NULL) AS fixable, count(*) FILTER (fix IS NULL) AS unfixable, count(*) FILTER (severity = 'Error') AS errors, arg_min(rule_id, subject || rule_id) FILTER (severity = 'Error') AS first_error FROM issue")
+@query(f"WITH RECURSIVE {LINT} SELECT count(*) FILTER ({FIXABLE}) AS fixable, count(*) FILTER (NOT {FIXABLE}) AS unfixable, min(cls || ' ' || rule_id) FILTER (severity = 'Error') AS first_error FROM issue")
 def lint_fix_counts(spark, sf):
-    i = L.document_issues(B.wiki_nodes(spark, sf))
-    error = F.col("severity") == "Error"
-    return i.agg(F.count_if(F.col("fix").isNotNull()).alias("fixable"), F.count_if(F.col("fix").isNull()).alias("unfixable"), F.count_if(error).alias("errors"), F.min_by("rule_id", F.when(error, F.concat("subject", "rule_id"))).alias("first_error"))
+    i = L.with_fixes(_issues(spark, sf))
+    error = F.when(F.col("severity") == "Error", F.concat_ws(" ", "cls", "rule_id"))
+    return i.agg(F.count_if(F.col("fix").isNotNull()).alias("fixable"), F.count_if(F.col("fix").isNull()).alias("unfixable"), F.min(error).alias("first_error"))
+
+
+@query(f"WITH RECURSIVE {LINT} SELECT count(*) FILTER (severity = 'Error' AND rule_id <> 'GEN-ARCH-001') AS errors, count(*) FILTER (severity = 'Warning' AND rule_id <> 'GEN-ARCH-001') AS warnings, count(*) FILTER (rule_id = 'GEN-ARCH-001') AS cycles FROM issue")
+def watch_lint_summary(spark, sf):
+    return L.watch_summary(_issues(spark, sf))
+
+
+@query(f"WITH RECURSIVE {LINT} SELECT CASE severity WHEN 'Error' THEN 0 WHEN 'Warning' THEN 1 WHEN 'Info' THEN 2 ELSE 3 END AS rank, rule_id, count(*) AS issues FROM issue GROUP BY 1, 2")
+def lint_by_rank(spark, sf):
+    return _issues(spark, sf).groupBy(R.severity_rank(F.col("severity")).alias("rank"), "rule_id").agg(F.count("*").alias("issues"))
+
+
+def _patterns(spark, sf):
+    types = K.types(spark, sf)
+    return L.type_patterns(types, K.methods(spark, sf), K.members(spark, sf)).unionByName(L.script_patterns(types, K.files(spark, sf)))
 
 
-@query("SELECT role, CASE WHEN turn = 0 THEN 'opening' WHEN contains(lower(text), 'the ') THEN 'english' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS pattern, count(*) AS n FROM conversations GROUP BY 1, 2")
+@query(f"WITH {K.PATTERNS} SELECT cls, pattern, category, confidence FROM pattern")
+def class_patterns(spark, sf):
+    return _patterns(spark, sf).select("cls", "pattern", "category", "confidence")
+
+
+@query(f"WITH {K.PATTERNS} SELECT pattern, category, confidence, count(*) AS classes FROM pattern GROUP BY 1, 2, 3")
 def pattern_summary(spark, sf):
-    c = B.table(spark, sf, "conversations")
-    p = F.when(F.col("turn") == 0, "opening").when(F.lower("text").contains("the "), "english").when(F.col("text").contains("?"), "question").otherwise("other")
-    return c.groupBy("role", p.alias("pattern")).agg(F.count("*").alias("n"))
+    return _patterns(spark, sf).groupBy("pattern", "category", "confidence").agg(F.count("*").alias("classes"))
 
 
 API = "CASE WHEN lower(t) = q THEN 100 WHEN starts_with(lower(t), q) THEN 80 WHEN contains(lower(t), q) THEN 60 + CASE WHEN length(q) > 3 THEN 10 ELSE 0 END ELSE 0 END"
@@ -572,17 +633,16 @@ def coupling_heat(spark, sf):
     return s.select("name", F.when(F.col("score") >= 10, "red").when(F.col("score") >= 5, "yellow").otherwise("green").alias("heat"))
 
 
-@query(f"WITH RECURSIVE {B.KIND_EDGES}, ke AS (SELECT DISTINCT src, dst FROM kedge), {_cycles_sql('cyc', 'ke')}, {SCORE}, {LINT} SELECT 'types' AS metric, (SELECT count(*) FROM node) AS value UNION ALL SELECT 'references', (SELECT count(*) FROM kedge) UNION ALL SELECT 'dead', (SELECT count(*) FROM node WHERE name NOT IN (SELECT dst FROM kedge WHERE src <> dst)) UNION ALL SELECT 'direct_cycles', (SELECT count(*) FROM cyc WHERE len(path) <= 2) UNION ALL SELECT 'other_cycles', (SELECT count(*) FROM cyc WHERE len(path) > 2) UNION ALL SELECT 'highest_coupling', (SELECT max(score) FROM score) UNION ALL SELECT 'issues_' || lower(severity), count(*) FROM issue GROUP BY severity")
+@query(f"WITH RECURSIVE {B.KIND_EDGES}, ke AS (SELECT DISTINCT src, dst FROM kedge), {_cycles_sql('cyc', 'ke')}, {SCORE}, {LINT.replace("cyc_p", "lcyc_p").replace("cyc AS", "lcyc AS").replace("FROM cyc", "FROM lcyc")} SELECT 'types' AS metric, (SELECT count(*) FROM node) AS value UNION ALL SELECT 'references', (SELECT count(*) FROM kedge) UNION ALL SELECT 'dead', (SELECT count(*) FROM node WHERE name NOT IN (SELECT dst FROM kedge WHERE src <> dst)) UNION ALL SELECT 'direct_cycles', (SELECT count(*) FROM cyc WHERE len(path) <= 2) UNION ALL SELECT 'other_cycles', (SELECT count(*) FROM cyc WHERE len(path) > 2) UNION ALL SELECT 'highest_coupling', (SELECT max(score) FROM score) UNION ALL SELECT 'issues_' || lower(severity), count(*) FROM issue GROUP BY severity")
 def health_report(spark, sf):
-    return C.health(B.type_nodes(spark, sf), B.kind_edges(spark, sf), L.document_issues(B.wiki_nodes(spark, sf)), 4)
+    return C.health(B.type_nodes(spark, sf), B.kind_edges(spark, sf), _issues(spark, sf), 4)
 
 
-@query(f"WITH RECURSIVE {B.EDGES}, st AS (SELECT s_suppkey AS start FROM supplier WHERE s_suppkey % 10 = 3), {_levels_sql('edge', 'SELECT start FROM st', 3, 'dst', 'src')}, rc AS (SELECT start, count(*) AS affected, max(depth) AS deepest FROM lev GROUP BY start), ia AS (SELECT l_suppkey AS start, count(*) AS issues FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), aa AS (SELECT l_suppkey AS start, count(*) AS assets FROM lineitem WHERE l_quantity > 40 GROUP BY 1) SELECT st.start, coalesce(affected, 0) AS affected, coalesce(deepest, 0) AS deepest, coalesce(issues, 0) AS issues, coalesce(assets, 0) AS assets FROM st LEFT JOIN rc USING (start) LEFT JOIN ia USING (start) LEFT JOIN aa USING (start)")
+@query(f"WITH RECURSIVE {B.EDGES}, st AS (SELECT c_custkey AS start FROM customer), {_levels_sql('edge', 'SELECT start FROM st', 3, 'dst', 'src')}, rc AS (SELECT start, count(*) AS affected, max(depth) AS deepest FROM lev GROUP BY start), ia AS (SELECT o_custkey AS start, count(*) AS issues FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), aa AS (SELECT user_id AS start, count(*) AS assets FROM events GROUP BY 1) SELECT st.start, coalesce(affected, 0) AS affected, coalesce(deepest, 0) AS deepest, coalesce(issues, 0) AS issues, coalesce(assets, 0) AS assets FROM st LEFT JOIN rc USING (start) LEFT JOIN ia USING (start) LEFT JOIN aa USING (start)")
 def risk_report(spark, sf):
-    li = B.table(spark, sf, "lineitem")
-    starts = B.table(spark, sf, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("start"))
-    named = lambda test: li.filter(test).select(F.col("l_suppkey").alias("name"))
-    return C.risk(B.type_edges(spark, sf), starts, named("l_returnflag = 'R'"), named("l_quantity > 40"))
+    starts = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("start"))
+    issues = B.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("name"))
+    return C.risk(B.type_edges(spark, sf), starts, issues, B.table(spark, sf, "events").select(F.col("user_id").alias("name")))
 
 
 NEW_CYCLES = f"{SNAPSHOTS}, {_cycles_sql('ca', 'ea')}, {_cycles_sql('cb', 'eb')}, nc AS (SELECT path FROM cb WHERE {KEY} NOT IN (SELECT {KEY} FROM ca))"
@@ -606,7 +666,7 @@ def new_cycle_classes(spark, sf):
 
 @query(f"WITH {B.EDGES}, n AS (SELECT src AS name FROM edge UNION SELECT dst FROM edge) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM n WHERE name NOT IN (SELECT src FROM edge)) AS leaves, (SELECT count(*) FROM n WHERE name % 4 <> 0) AS unresolved")
 def flow_counts(spark, sf):
-    known = B.table(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("name"))
+    known = B.table(spark, sf, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("name"))
     return C.flow_counts(B.type_edges(spark, sf), known)
 
 
@@ -667,10 +727,9 @@ def truncated_text(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", R.truncated(F.col("text"), 80).alias("short"))
 
 
-@query("SELECT conv_id, trim(regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\\w\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '')) AS slug FROM conversations WHERE turn = 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(r"SELECT conv_id, turn, regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS slug FROM conversations")
 def conversation_slugs(spark, sf):
-    c = B.table(spark, sf, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).filter("turn = 0")
-    return c.select("conv_id", T.slug(F.col("text")).alias("slug"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT lang, regexp_matches(source, '(1|3|5)$') AS is_test, count(*) AS files FROM documents GROUP BY 1, 2")
@@ -685,3 +744,91 @@ def test_file_counts(spark, sf):
 def prefix_category(spark, sf):
     name = F.concat(F.substring(F.lit("AUFEIx"), (F.col("s_suppkey") % 6 + 1).cast("int"), F.lit(1)), F.lit("Thing"))
     return B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), P.prefix_category(name).alias("category"))
+
+
+CALL_NAMES = ["Add", "get_Value", "Fire", "add_Hit", "GetComponent", "Walk", "Log", "remove_Hit", "Invoke"]
+CALL_CLASSES = ["Hero", "Mathf", "System.IO", "UnityEngine.UI", "UnityEngine.CustomUI", "Debug", "Enemy"]
+
+
+@query(f"WITH c AS (SELECT event_id, {K._list(CALL_CLASSES, 'event_id // 9')} AS cls, {K._list(CALL_NAMES, 'event_id')} AS method FROM events) SELECT cls, method, count(*) AS calls FROM c WHERE cls IN ('Hero', 'UnityEngine.CustomUI', 'Enemy') AND method IN ('Fire', 'Walk', 'Invoke') GROUP BY 1, 2")
+def calls_without_noise(spark, sf):
+    e = B.table(spark, sf, "events").select(K._pick(CALL_CLASSES, F.floor(F.col("event_id") / 9)).alias("callee_cls"), K._pick(CALL_NAMES, F.col("event_id")).alias("callee_method"))
+    return X.without_noise(e).groupBy(F.col("callee_cls").alias("cls"), F.col("callee_method").alias("method")).agg(F.count("*").alias("calls"))
+
+
+ACCESSES = ["public", "protected", "private", "internal"]
+
+
+@query(f"SELECT page_id // 8 AS cls, count(*) FILTER (page_id % 4 = 0) AS public, count(*) FILTER (page_id % 4 = 1) AS protected, count(*) FILTER (page_id % 4 > 1) AS private FROM pages GROUP BY 1")
+def members_by_access(spark, sf):
+    return X.by_access(B.table(spark, sf, "pages").select(F.floor(F.col("page_id") / 8).alias("cls"), K._pick(ACCESSES, F.col("page_id")).alias("access")))
+
+
+VERSIONS = ["5.0.3", "5.6", "5.7.1", "4.27", "3.1", "", "5.12"]
+
+
+@query(f"SELECT version, CASE WHEN version IN ('5.0.3', '5.6', '5.12') THEN 'validated' WHEN version = '5.7.1' THEN 'experimental' WHEN version = '4.27' THEN 'unsupported' ELSE 'unknown' END AS tier, count(*) AS n FROM (SELECT {K._list(VERSIONS, 'p_partkey')} AS version FROM part) GROUP BY 1, 2")
+def engine_tiers(spark, sf):
+    return B.table(spark, sf, "part").select(K._pick(VERSIONS, F.col("p_partkey")).alias("version")).groupBy("version", X.engine_tier(F.col("version")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(substring(coalesce(text, ''), 1, CAST(n_chars // 2 AS INTEGER)), chr(10))) AS BIGINT) AS line FROM documents")
+def line_of_middle(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", X.line_of(F.coalesce("text", F.lit("")), F.floor(F.col("n_chars") / 2)).alias("line"))
+
+
+@query("SELECT n_name AS namespace, count(*) AS types FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON n_nationkey = k GROUP BY 1")
+def all_namespaces(spark, sf):
+    c, s, n = (B.table(spark, sf, t) for t in ("customer", "supplier", "nation"))
+    rows = [c.select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name")), s.select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))]
+    return X.namespaces(*[r.join(n, F.col("k") == n.n_nationkey).select(F.col("n_name").alias("namespace"), "name") for r in rows])
+
+
+@query("SELECT user_id, event_type, arg_min(value, event_id) AS value, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def first_of_kind(spark, sf):
+    return X.keep_first(B.table(spark, sf, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], ["event_id"])
+
+
+@query(f"WITH {B.WIKI} SELECT id, doc_id % 6 = 0 OR doc_id % 4 = 0 AS stale FROM wiki")
+def wiki_marked_stale(spark, sf):
+    w = B.wiki_nodes(spark, sf)
+    notes = w.select("id", "doc_id", (F.col("doc_id") % 4 == 0).alias("stale"))
+    return S.mark_stale(notes, notes.filter("doc_id % 6 = 0")).select("id", "stale")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '(^|[^A-Za-z0-9_])[A-Z][a-z]+[A-Z][A-Za-z0-9]*')) > 0 AS BOOLEAN) AS has_names FROM documents")
+def texts_with_names(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("doc_id", F.col("text").rlike(r"(^|[^A-Za-z0-9_])[A-Z][a-z]+[A-Z][A-Za-z0-9]*").alias("has_names"))
+
+
+@query(f"WITH {B.WIKI}, h AS (SELECT id, type FROM wiki WHERE regexp_matches(body, '(?i)(^|[^\\p{{L}}\\p{{N}}])the[^\\p{{L}}\\p{{N}}]+([^\\p{{L}}\\p{{N}}])?of($|[^\\p{{L}}\\p{{N}}])') OR regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}])the[^\\p{{L}}\\p{{N}}]+of($|[^\\p{{L}}\\p{{N}}])')) SELECT id FROM h")
+def phrase_search(spark, sf):
+    return S.phrase_search(B.wiki_nodes(spark, sf), ["the", "of"])
+
+
+TYPE_TEXTS = ["List<Enemy>", "Dictionary<string, Game.Hero>", "Hero?", "Game.Core.Enemy[]", "int", "Task<List<Boss>>"]
+
+
+@query(f"SELECT p_partkey, {K._list(TYPE_TEXTS, 'p_partkey')} AS type, {K._list(['List,Enemy', 'Dictionary,Hero', 'Hero', 'Enemy', '', 'Task,List,Boss'], 'p_partkey')} AS names, {K._list(['List', 'Dictionary', 'Hero?', 'Game.Core.Enemy[]', 'int', 'Task'], 'p_partkey')} AS short, {K._list(['Enemy', 'Hero', 'Hero', 'Enemy[]', 'int', 'Boss'], 'p_partkey')} AS simple FROM part")
+def type_texts(spark, sf):
+    from cordage.sources.trees import PRIMITIVES
+
+    p = B.table(spark, sf, "part").select("p_partkey", K._pick(TYPE_TEXTS, F.col("p_partkey")).alias("type"))
+    return p.select("p_partkey", "type", F.array_join(T.type_names(F.col("type"), list(PRIMITIVES)), ",").alias("names"), T.cut_generic(F.col("type")).alias("short"), T.simple_type(F.col("type")).alias("simple"))
+
+
+STATES = ["Idle", "Run Fast", "EventGraph", "walk around", "AttackHeavy", "some_var", "Result"]
+
+
+@query(f"SELECT c_custkey, {K._list(STATES, 'c_custkey')} AS name, c_custkey % 7 IN (0, 1, 4) AS is_state FROM customer")
+def likely_states(spark, sf):
+    name = K._pick(STATES, F.col("c_custkey"))
+    return B.table(spark, sf, "customer").select("c_custkey", name.alias("name"), P.likely_state(name).alias("is_state"))
+
+
+@query(f"WITH {K.METHODS} SELECT cls, CAST(count(*) AS BIGINT) AS methods, count(*) FILTER (name IN ('Update', 'BeginPlay')) AS entries FROM method GROUP BY cls")
+def lifecycle_methods(spark, sf):
+    m = K.methods(spark, sf)
+    entries = m.join(P.entry_points(m, ["BeginPlay", "Update"]).select("cls", "name"), ["cls", "name"], "left_semi").groupBy("cls").agg(F.count("*").alias("entries"))
+    return m.groupBy("cls").agg(F.count("*").alias("methods")).join(entries, "cls", "left").select("cls", "methods", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))

@@ -1,15 +1,39 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and numbering whole tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_own_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset on one machine (a local master) a temporary folder, on a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cordage-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared checkpoint folder (spark.checkpoint.dir); a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cordage-"))
-    return df.checkpoint()
+    """``df`` written into the shared folder and read again: a loop's plan starts anew, with the sizes known to the optimizer."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cordage/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """Adds ``out``: the row's number from 1 in the order of the whole table. Rows are dealt and numbered by ranges; one count per range comes together."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(counts, "_part").select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cordage.operators.graph import levels
+from cordage.operators.reports import name_pairs
+from cordage.plans.iterate import cut
+
 SOURCE_FILES = (".cs", ".cpp", ".h", ".hpp")
 
 
@@ -26,20 +30,60 @@ def change_events(raw: DataFrame, classes: list[str] | None = None) -> DataFrame
 def debounced(events: DataFrame, gap: str = "1 second", watermark: str | None = None, per_class: bool = False, by: str = "ts") -> DataFrame:
     """cls, changes, started, ended: of every burst (changes closer than ``gap``) the last class changed, or with ``per_class`` every class.
 
-    Without ``per_class`` a burst is one group; it is as large as the longest stretch without a pause.
+    Without ``per_class`` a burst is one group; it is as large as the longest stretch without a pause. A batch is dealt by ranges of time, and
+    bursts that cross a seam are joined there; a stream has one global state, as the pause it waits for is global.
     """
+    last = F.max_by("cls", F.struct("ts", by) if by != "ts" else F.col("ts")).alias("cls")
+    if not (events.isStreaming or per_class):
+        rows = _bursts(events, gap, by)
+        ended = F.timestamp_seconds(F.unix_micros(F.max("ts").cast("timestamp")) / F.lit(1e6) + F.lit(_seconds(gap)))
+        out = rows.groupBy("burst").agg(last, F.count("*").alias("changes"), F.min("ts").alias("started"), ended.cast(events.schema["ts"].dataType).alias("ended"))
+        return out.select("cls", "changes", "started", "ended")
     rows = events.withWatermark("ts", watermark) if watermark else events
     # Session windows of a stream need a key beside the window: without classes, one that is always 0.
     keys = [F.session_window("ts", gap).alias("w"), F.col("cls") if per_class else F.pmod(F.hash("cls"), F.lit(1)).alias("all")]
-    last = [] if per_class else [F.max_by("cls", F.struct("ts", by) if by != "ts" else F.col("ts")).alias("cls")]
-    out = rows.groupBy(*keys).agg(*last, F.count("*").alias("changes"))
+    out = rows.groupBy(*keys).agg(*([] if per_class else [last]), F.count("*").alias("changes"))
     return out.select("cls", "changes", F.col("w.start").alias("started"), F.col("w.end").alias("ended"))
 
 
+def _seconds(gap: str) -> float:
+    number, unit = gap.split()
+    return float(number) * {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
+
+
+def _bursts(events: DataFrame, gap: str, by: str) -> DataFrame:
+    """Adds burst: a number that changes in order of time wherever ``gap`` or more has passed."""
+    order = ["ts", by] if by != "ts" else ["ts"]
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ranged = cut(events.withColumn("_at", at).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    pause = int(_seconds(gap) * 1e6)
+    rows = ranged.withColumn("_new", F.coalesce((F.col("_at") - F.lag("_at").over(inside) >= pause).cast("long"), F.lit(0)))
+    # One row per range: whether a pause lies before it, and how many bursts began before it.
+    seams = rows.groupBy("_part").agg(F.min("_at").alias("low"), F.max("_at").alias("high"), F.sum("_new").alias("n"))
+    whole = Window.orderBy("_part")
+    seams = seams.withColumn("first", F.coalesce((F.col("low") - F.lag("high").over(whole) >= pause).cast("long"), F.lit(0)))
+    earlier = F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("first").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_within", within).join(seams.select("_part", earlier.alias("_earlier")), "_part").select(*events.columns, (F.col("_earlier") + F.col("_within")).alias("burst"))
+
+
+def analysis_of(changes: DataFrame, edges: DataFrame, tests: DataFrame, issues: DataFrame, depth: int = 3) -> DataFrame:
+    """cls, changes, affected, tests, issues, errors: what a change reaches, test files (stem) named for it or for what it reaches, and the lint issues (cls, severity) of its class."""
+    starts = changes.select(F.col("cls").alias("start")).distinct()
+    reached = cut(levels(edges, starts, depth, reverse=True).select("start", F.col("name").cast("string").alias("name")))
+    affected = reached.groupBy(F.col("start").alias("cls")).agg(F.count("*").alias("affected"))
+    scope = reached.unionByName(starts.select("start", F.col("start").cast("string").alias("name")))
+    named = name_pairs(tests, scope.select(F.col("name").alias("cls"))).withColumnRenamed("cls", "name")
+    per_test = scope.join(named, "name").groupBy(F.col("start").alias("cls")).agg(F.countDistinct("stem").alias("tests"))
+    linted = issues.groupBy("cls").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "Error").alias("errors"))
+    rows = changes.select("cls", "changes").join(affected, "cls", "left").join(per_test, "cls", "left").join(linted, "cls", "left")
+    return rows.na.fill(0, ["affected", "tests", "issues", "errors"])
+
+
 def impact_of(changes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """cls, changes, affected: how many types a change reaches."""
-    from cordage.operators.graph import levels
-
     starts = changes.select(F.col("cls").alias("start")).distinct()
     reached = levels(edges, starts, depth, reverse=True).groupBy(F.col("start").alias("cls")).agg(F.count("*").alias("affected"))
     return changes.join(reached, "cls", "left").select("cls", "changes", F.coalesce("affected", F.lit(0)).alias("affected"))

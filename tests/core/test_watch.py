@@ -45,3 +45,32 @@ def test_impact(spark):
     changes = spark.createDataFrame([("P", 2), ("N", 1)], "cls string, changes long")
     assert {tuple(r) for r in W.impact_of(changes, edges).collect()} == {("P", 2, 1), ("N", 1, 0)}
     assert F.lit is not None
+
+
+def test_bursts_across_ranges(spark):
+    """Many changes over many ranges of time, against one pass in order."""
+    import random
+
+    rng = random.Random(4)
+    at, rows = 0.0, []
+    for i in range(400):
+        at += rng.choice([0.1, 0.3, 0.9, 1.0, 2.5])
+        rows.append((round(at, 1), f"C{i}"))
+    want, last = [], None
+    for t, c in rows:
+        if last is None or round(t - last, 1) >= 1.0:
+            want.append([c, 0])
+        want[-1] = [c, want[-1][1] + 1]
+        last = t
+    got = W.debounced(W.change_events(events(spark, rows)).repartition(7)).orderBy("started").collect()
+    assert [[r.cls, r.changes] for r in got] == want
+    assert W.debounced(W.change_events(events(spark, rows)).limit(0)).count() == 0
+
+
+def test_analysis(spark):
+    edges = spark.createDataFrame([("X", "P"), ("Y", "X")], "src string, dst string")
+    changes = spark.createDataFrame([("P", 2), ("N", 1)], "cls string, changes long")
+    tests = spark.createDataFrame([("PTest",), ("XYZ",), ("Other",)], "stem string")
+    issues = spark.createDataFrame([("P", "Error"), ("P", "Info"), ("X", "Error")], "cls string, severity string")
+    got = {r.cls: r[1:] for r in W.analysis_of(changes, edges, tests, issues).collect()}
+    assert got == {"P": (2, 2, 2, 2, 1), "N": (1, 0, 0, 0, 0)}
