@@ -68,3 +68,17 @@ def test_drifting_copies(spark):
 
 def test_empty(spark):
     assert kept(spark, []) == []
+
+
+def test_frequent_passage_makes_few_pairs(spark):
+    """Texts that share a passage of two thirds of their words meet in bands, but are not compared with each other; true copies among them are found."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage, texts = [word() for _ in range(80)], []
+    for _ in range(150):
+        texts.append(" ".join(passage + [word() for _ in range(rng.randrange(8, 40))]))
+    for t in texts[:40:4]:
+        texts.append(t + " " + word())
+    rows = list(enumerate(texts))
+    roots = plain_groups(texts)
+    assert sorted(d for d, _ in kept(spark, rows)) == sorted(set(roots))
