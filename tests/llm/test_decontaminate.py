@@ -30,8 +30,8 @@ def plain(docs, items, threshold=0.8):
                 for s in range(max(1, len(dw) - len(iw) + 1)) if held else []:
                     have = Counter(every[s : s + len(iw) - k + 1])
                     # As many in common as the text holds of the item, at most.
-                    if have and held / (have.total() + want.total() - held) >= threshold or held > want.total():
-                        sim = sum((have & want).values()) / max(1, sum((have | want).values()))
+                    if have and (held >= want.total() or held / (have.total() + want.total() - held) >= threshold):
+                        sim = sum((have & want).values()) / sum((have | want).values())
                         if sim >= threshold:
                             out[d, i] = max(out.get((d, i), 0), sim)
     return out
