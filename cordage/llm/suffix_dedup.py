@@ -4,8 +4,10 @@ Kept positions. Every run of 10 words has a hash; of the 41 such runs in a windo
 minimiser. Equal windows have equal minimisers, so only suffixes at minimiser positions are kept (about 1 word in 21), and a
 passage of 50 words or more that stands in two places has a kept position in both, with the same minimiser.
 
-Sort and compare. Kept suffixes are brought together by their first 10 words (the minimiser's hash is the order: equal
-suffixes become neighbours, and unequal ones need no order among them). Those without an equal neighbour are dropped.
+Sort and compare. Kept suffixes are sorted by their words, over all documents: dealt by ranges and sorted there. Each is compared with the
+suffixes before and after it, and those that have fewer than 10 words in common with either are dropped. The order is that of the words' hashes, of
+which 16 bits are kept (the minimiser's 64 bits decide between suffixes equal by these), then of the documents, so that a suffix that
+a third of all texts hold is dealt to many tasks; where two ranges meet, their last and first suffix are compared apart.
 
 Extend. From a kept position that has neighbours, windows reach left as far as it stays their minimiser, and right over the
 50 words of each: those windows, in order, are the position's block. Blocks that are equal as a whole are one class with a count, so copies
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import staged, trimmed
+from cordage.llm.common import staged, trimmed, whole_parts
 
 PASSAGE, GRAM = 50, 10
 _NO_ID = -(1 << 63)
@@ -81,10 +83,15 @@ def minimisers(words: np.ndarray, passage: int = PASSAGE, gram: int = GRAM) -> t
         return _slid(grams, passage - gram + 1, np.minimum), _mixed(_joined(words, passage))
 
 
+_SUFFIX = pa.schema([("key", pa.int64()), ("suffix", pa.binary()), ("doc", pa.int64()), ("n", pa.int64())])
+
+
 def _kept(passage: int, gram: int):
+    """key (the minimiser), suffix (its words), doc, n (how often the text has it) of every kept suffix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, counts = [], [], []
+            ids, keys, counts, suffixes = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _hashes(text.as_py() or "")
                 if len(words) < passage:
@@ -95,16 +102,62 @@ def _kept(passage: int, gram: int):
                 # Positions that are the minimiser of some window: the greatest minimum over the windows around them is theirs.
                 width = passage - gram + 1
                 padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-                key, count = np.unique(grams[_slid(padded, width, np.maximum) == grams], return_counts=True)
+                at = np.flatnonzero(_slid(padded, width, np.maximum) == grams)
+                key, first, count = np.unique(grams[at], return_index=True, return_counts=True)
+                suffixes.append((words >> np.uint64(48)).astype(">u2")[at[first][:, None] + np.arange(gram)])
                 ids.append(np.full(len(key), doc_id, np.int64))
                 keys.append(key.view(np.int64))
                 counts.append(count)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int64))], ["key", "doc", "n"])
+                total = sum(map(len, keys))
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * gram), total, [None, pa.py_buffer(np.concatenate(suffixes).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), raw.cast(pa.binary()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int64))], schema=_SUFFIX)
 
     return trimmed(run)
 
 
+_NEAR = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("shared", pa.bool_()), ("edge", pa.bool_())])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted suffixes of a range: those equal to the one before or after, or met twice in their text (shared), and the first and the
+    last (edge), whose neighbour may be in another range."""
+
+    def found(batch: pa.RecordBatch, alike: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        shared, edge = alike | (batch.column("n").to_numpy() > 1), np.zeros(batch.num_rows, bool)
+        edge[0], edge[-1] = first or (last and batch.num_rows == 1), last or (first and batch.num_rows == 1)
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc"), pa.array(shared), pa.array(edge)], schema=_NEAR).filter(pa.array(shared | edge))
+
+    held, before, first = None, None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        words = np.frombuffer(b"".join(batch.column("suffix").to_pylist()), ">u2").reshape(len(key), -1)
+        same = (key[1:] == key[:-1]) & (words[1:] == words[:-1]).all(axis=1)
+        alike = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if held is not None:
+            meets = bool(key[0] == before[0] and (words[0] == before[1]).all())
+            alike[0] |= meets
+            held[1][-1] |= meets
+            yield found(*held, first, False)
+            first = False
+        held, before = (batch, alike), (key[-1], words[-1])
+    if held is not None:
+        yield found(*held, first, True)
+
+
+def shared_suffixes(spark: SparkSession, kept: DataFrame) -> DataFrame:
+    """key, doc of the kept suffixes that have a neighbour with as many words in common as a minimiser has. ``kept`` should be staged."""
+    order = ["suffix", "key", "doc"]
+    ranges = kept.repartitionByRange(whole_parts(spark), *order).sortWithinPartitions(*order)
+    near = staged(ranges.mapInArrow(trimmed(_neighbours), "key long, doc long, shared boolean, edge boolean"), "neighbours")
+    # Two rows per range: those of one key stand on both sides of a seam.
+    seams = near.filter("edge").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    across = near.filter("edge AND NOT shared").join(F.broadcast(seams), "key", "left_semi").select("key", "doc")
+    return near.filter("shared").select("key", "doc").unionAll(across)
+
+
 _BLOCK = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
 
@@ -149,14 +202,13 @@ def _written(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_spans(spark: SparkSession, docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """doc, start, end (words, end exclusive), later: stretches of windows that repeat, those of a document overlapping where they do."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    kept = staged(base.mapInArrow(_kept(passage, gram), "key long, doc long, n long"), "kept")
-    # Sums that are joined back are staged first: a join of two plain exchanges is one whose hot keys Spark can split.
-    shared = staged(kept.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "keys")
-    per_text = staged(kept.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "shared")
+    kept = staged(base.mapInArrow(_kept(passage, gram), "key long, suffix binary, doc long, n long"), "kept")
+    per_text = staged(shared_suffixes(spark, kept).groupBy("doc").agg(F.collect_set("key").alias("keys")), "shared")
     texts = base.join(per_text.hint("merge"), "doc").select("doc", "text", "keys")
     blocks = staged(texts.mapInArrow(_blocks(passage, gram), "key long, block long, doc long, low long, windows array<long>"), "blocks")
 
     place = F.struct("doc", "low", "windows")
+    # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
     classes = staged(blocks.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("key", "block", "n", "p.*"), "classes")
     differ = staged(classes.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
     marked = classes.join(differ.hint("merge"), "key")

@@ -84,3 +84,25 @@ def test_copied_periodic_text(spark):
     compare(spark, rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.later_words for r in M.repeated_passages(spark, df).collect()} == {1: 132, 2: 144}
+
+
+def test_neighbours_across_ranges(spark):
+    """Keys of one suffix to hundreds, dealt to more ranges than some have suffixes: those that stand twice are found, and no other."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in range(60):
+        for doc in range(int(rng.choice([1, 1, 1, 2, 3, 300 if key == 7 else 1]))):
+            rows.append((key - 30, bytes([key // 8, key]) * 10, doc, 2 if key == 11 else 1))
+    total = {}
+    for key, _, _, n in rows:
+        total[key] = total.get(key, 0) + n
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "3", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            kept = M.staged(spark.createDataFrame(rows, "key long, suffix binary, doc long, n long"), "kept")
+            got = sorted((r.key, r.doc) for r in M.shared_suffixes(spark, kept).collect())
+            assert got == sorted((k, d) for k, _, d, _ in rows if total[k] > 1)
+            assert M.shared_suffixes(spark, kept.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
