@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordage.functions.text import escaped, file_safe, safe_id
@@ -18,6 +18,35 @@ def mermaid(edges: DataFrame, direction: str = "TD") -> DataFrame:
     return head.unionByName(body).orderBy("pos", "line")
 
 
+def _lines(spark: SparkSession, head: str, body: DataFrame) -> DataFrame:
+    """line, pos: the head, then the body's lines, each once."""
+    first = spark.createDataFrame([(head, 0)], "line string, pos int")
+    return first.unionByName(body.select("line").distinct().withColumn("pos", F.lit(1))).orderBy("pos", "line")
+
+
+def call_label(cls: Column, method: Column, own: Column, dynamic: Column) -> Column:
+    """A call's node: the method alone within the caller's class, else with its class; ? where that is unknown, and an arrow before a dynamic call."""
+    name = F.when(cls.isNull(), F.concat(F.lit("?."), method)).when(cls == own, method).otherwise(F.concat_ws(".", cls, method))
+    return F.concat(F.when(dynamic, F.lit("⇢ ")).otherwise(F.lit("")), name)
+
+
+def flow_chart(calls: DataFrame) -> DataFrame:
+    """line: a flow chart of calls (caller_cls, caller_method, callee_cls, callee_method, condition, is_dynamic), conditions on the arrows."""
+    src, dst = F.concat_ws(".", "caller_cls", "caller_method"), F.concat_ws(".", F.coalesce("callee_cls", F.lit("?")), "callee_method")
+    label = call_label(F.col("callee_cls"), F.col("callee_method"), F.col("caller_cls"), F.col("is_dynamic"))
+    arrow = F.when(F.coalesce("condition", F.lit("")) == "", " --> ").otherwise(F.concat(F.lit(' -->|"'), escaped(F.col("condition")), F.lit('"| ')))
+    body = calls.select(F.concat(F.lit("    "), safe_id(src), F.lit('["'), escaped(src), F.lit('"]'), arrow, safe_id(dst), F.lit('["'), escaped(label), F.lit('"]')).alias("line"))
+    return _lines(calls.sparkSession, "flowchart TD", body)
+
+
+def class_diagram(edges: DataFrame) -> DataFrame:
+    """line: a class diagram of edges (src, dst, kind, member): inheritance points at the base, other kinds name their member."""
+    src, dst = safe_id(F.col("src").cast("string")), safe_id(F.col("dst").cast("string"))
+    other = F.concat(src, F.lit(" --> "), dst, F.when(F.coalesce("member", F.lit("")) == "", "").otherwise(F.concat(F.lit(" : "), F.col("member"))))
+    body = edges.select(F.concat(F.lit("    "), F.when(F.col("kind") == "Inheritance", F.concat(dst, F.lit(" <|-- "), src)).otherwise(other)).alias("line"))
+    return _lines(edges.sparkSession, "classDiagram", body)
+
+
 def dot(edges: DataFrame, name: str = "G") -> DataFrame:
     """line: the same as a Graphviz digraph."""
     src, dst = F.col("src").cast("string"), F.col("dst").cast("string")

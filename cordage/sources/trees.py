@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordage.functions.text import balanced, calls_of, cpp_type_text, simple_type_text, without_comments
+from cordage.plans.iterate import cut
 
 # Folders that hold no sources of a project, and types that are no nodes.
 IGNORED_DIRS = ["bin", "obj", ".git", ".vs", "Library", "Temp", "Intermediate", "Saved", "Binaries", "DerivedDataCache", "node_modules", "build"]
@@ -174,16 +175,36 @@ def _extracted(rows: DataFrame, parse, part: int, schema: str) -> DataFrame:
     return rows.select("path", "text").mapInPandas(run, schema)
 
 
+def parsed(rows: DataFrame, language: str = "cs") -> DataFrame:
+    """types, members, methods of every file (path, text), each parsed once. The three functions below take it in place of the files."""
+    schemas = {"types": TYPE_SCHEMA, "members": MEMBER_SCHEMA, "methods": METHOD_SCHEMA}
+    names = [[c.split()[0] for c in s.split(", ")] for s in schemas.values()]
+    parse = parse_csharp if language == "cs" else parse_cpp
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [parse(p, t or "") for p, t in zip(b["path"], b["text"], strict=True)]
+            yield pd.DataFrame({k: [[dict(zip(n, r, strict=True)) for r in f[i]] for f in found] for i, (k, n) in enumerate(zip(schemas, names, strict=True))})
+
+    fields = ", ".join(f"{k} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in s.split(', '))}>>" for k, s in schemas.items())
+    return cut(rows.select("path", "text").mapInPandas(run, fields))
+
+
+def source_files(spark: SparkSession, root: str, *globs: str) -> DataFrame:
+    """path, text of C# files, or those that match; generated ones (ending _PROTO.cs) are left out."""
+    return files(spark, root, *(globs or ("*.cs",))).filter(~F.col("path").endswith("_PROTO.cs"))
+
+
 def types_of(rows: DataFrame, language: str = "cs") -> DataFrame:
-    return _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 0, TYPE_SCHEMA)
+    return rows.select(F.inline("types")) if "types" in rows.columns else _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 0, TYPE_SCHEMA)
 
 
 def members_of(rows: DataFrame, language: str = "cs") -> DataFrame:
-    return _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 1, MEMBER_SCHEMA)
+    return rows.select(F.inline("members")) if "members" in rows.columns else _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 1, MEMBER_SCHEMA)
 
 
 def methods_of(rows: DataFrame, language: str = "cs") -> DataFrame:
-    return _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 2, METHOD_SCHEMA)
+    return rows.select(F.inline("methods")) if "methods" in rows.columns else _extracted(rows, parse_csharp if language == "cs" else parse_cpp, 2, METHOD_SCHEMA)
 
 
 def merged_methods(methods: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_unity_rules(spark, tree):
     got = sorted((r.rule_id, r.method, r.detail) for r in L.unity_frame_rules(m).unionByName(L.unity_coroutine_rules(m)).collect())
     assert got == [("UNI-ASYNC-001", "Loop", ""), ("UNI-ASYNC-002", "Fine", "GameObject.Find"), ("UNI-PERF-001", "Update", "Camera.main"), ("UNI-PERF-001", "Update", "GetComponent"), ("UNI-PERF-002", "Update", "Bullet")]
     fixed = {r.rule_id: r.fix for r in L.with_fixes(L.unity_coroutine_rules(m)).collect()}
-    assert fixed["UNI-ASYNC-002"] is None and "Loop" in fixed["UNI-ASYNC-001"]
+    assert "Fine" in fixed["UNI-ASYNC-002"] and "Loop" in fixed["UNI-ASYNC-001"]
     types, files = S.types_of(S.files(spark, tree, "Hero.cs")), S.files(spark, tree, "Hero.cs")
     assert {r.pattern for r in L.script_patterns(types, files).collect()} == {"Singleton Pattern", "Coroutine Workflow"}
 
@@ -148,3 +148,23 @@ def test_type_patterns(spark):
     types = spark.createDataFrame([("UMy", ["UGameInstanceSubsystem", "IThing"])], "name string, base_types array<string>")
     members = spark.createDataFrame([("UMy", "a", "UMeshComponent", True), ("UMy", "b", "UBoxComponent", False)], "cls string, name string, type string, is_replicated boolean")
     assert {r.pattern for r in L.type_patterns(types, types.limit(0), members).collect()} == {"Subsystem Pattern", "Component Composition", "Network Replication", "Interface Implementation"}
+
+
+def test_parsed_once(spark, tree):
+    f = S.source_files(spark, tree)
+    p = S.parsed(f)
+    for of in (S.types_of, S.members_of, S.methods_of):
+        assert sorted(map(str, of(p).collect())) == sorted(map(str, of(f).collect())) and of(p).columns == of(f).columns
+    cpp = S.files(spark, tree, "*.h", "*.cpp")
+    assert sorted(map(str, S.methods_of(S.parsed(cpp, "cpp"), "cpp").collect())) == sorted(map(str, S.methods_of(cpp, "cpp").collect()))
+
+
+def test_diagrams(spark):
+    from cordage.sources import render as D
+
+    calls = spark.createDataFrame([("A", "run", "A", "go", "", False), ("A", "run", "B", "hit", 'x == "y"', False), ("A", "run", None, "fly", "", True)], "caller_cls string, caller_method string, callee_cls string, callee_method string, condition string, is_dynamic boolean")
+    lines = [r.line for r in D.flow_chart(calls).collect()]
+    assert lines[0] == "flowchart TD" and len(lines) == 4
+    assert any('["go"]' in x for x in lines) and any('["B.hit"]' in x and '|"x == ' in x for x in lines) and any('["⇢ ?.fly"]' in x for x in lines)
+    edges = spark.createDataFrame([("A", "Base", "Inheritance", ""), ("A", "B", "Field", "b")], "src string, dst string, kind string, member string")
+    assert {r.line.strip() for r in D.class_diagram(edges).collect()} == {"classDiagram", "Base <|-- A", "A --> B : b"}
