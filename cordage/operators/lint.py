@@ -27,9 +27,6 @@ COLUMNS = ["rule_id", "severity", "cls", "method", "file_path", "detail"]
 FIXES = {
     "UNI-PERF-001": "Look it up once, in Awake of {cls}, and keep the reference instead of asking in {method}.",
     "UNI-PERF-002": "Take objects that {method} makes each frame from a pool, or make them once.",
-    "UNI-ASYNC-002": "Load before {method} begins, or load asynchronously and yield on that.",
-    "UE5-GAS-001": "Call CommitAbility in {cls}::{method} and end the ability where it fails.",
-    "UE5-GAS-002": "Find the actors or assets once, outside the ability, and pass them in.",
     "UE5-BASE-001": "Call Super::{method}(...) first in {cls}::{method}.",
     "UNI-ASYNC-001": "Yield inside the endless loop of {method}.",
     "AXM-PERF-001": "Look the child up once, when {cls} enters, and keep the pointer.",
