@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,10 +138,17 @@ def static_accessors(path: str) -> dict[str, dict[str, str]]:
 
 
 def git_snapshot(spark: SparkSession, repo: str, commit: str, ending: str = ".cs") -> DataFrame:
-    """path, text of a commit's files. Git is asked on the driver, for the names and one file at a time."""
-    git = lambda *a: subprocess.run(["git", "-C", repo, *a], capture_output=True, text=True, check=True).stdout
-    names = [n for n in git("ls-tree", "-r", "--name-only", commit).splitlines() if n.endswith(ending)]
-    return spark.createDataFrame([(n, git("show", f"{commit}:{n}")) for n in names], "path string, text string")
+    """path, text of a commit's files. The driver asks git for the names; tasks ask it for the texts, so they must see the repository's folder."""
+    listed = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "--name-only", commit], capture_output=True, text=True, check=True).stdout
+    names = [(n,) for n in listed.splitlines() if n.endswith(ending)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [subprocess.run(["git", "-C", repo, "show", f"{commit}:{n}"], capture_output=True, text=True, check=True).stdout for n in b["path"]]
+            yield pd.DataFrame({"path": b["path"], "text": texts})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.createDataFrame(names, "path string").repartition(parts).mapInPandas(run, "path string, text string")
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:

@@ -168,3 +168,19 @@ def test_diagrams(spark):
     assert any('["go"]' in x for x in lines) and any('["B.hit"]' in x and '|"x == ' in x for x in lines) and any('["⇢ ?.fly"]' in x for x in lines)
     edges = spark.createDataFrame([("A", "Base", "Inheritance", ""), ("A", "B", "Field", "b")], "src string, dst string, kind string, member string")
     assert {r.line.strip() for r in D.class_diagram(edges).collect()} == {"classDiagram", "Base <|-- A", "A --> B : b"}
+
+
+def test_git_snapshot(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    (tmp_path / "A.cs").write_text("class A {}")
+    (tmp_path / "b.txt").write_text("no code")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    first = git("rev-parse", "HEAD")
+    (tmp_path / "A.cs").write_text("class A : B {}")
+    git("commit", "-qam", "second")
+    assert [tuple(r) for r in A.git_snapshot(spark, str(tmp_path), first).collect()] == [("A.cs", "class A {}")]
+    assert A.git_snapshot(spark, str(tmp_path), first, ".none").count() == 0
