@@ -81,10 +81,11 @@ def direct_cycles(edges: DataFrame) -> DataFrame:
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges between nodes that have both incoming and outgoing ones, so tried ``rounds`` times: all that can be on a cycle stay."""
-    e = edges.filter("src != dst").select("src", "dst").distinct()
+    e = cut(edges.filter("src != dst").select("src", "dst").distinct())
     for _ in range(rounds):
-        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        # A round reads its edges four times: they are made once.
+        both = e.select(F.col("src").alias("name")).intersect(e.select("dst"))
+        e = cut(e.join(both.withColumnRenamed("name", "dst"), "dst", "left_semi").join(both.withColumnRenamed("name", "src"), "src", "left_semi").select("src", "dst"))
     return e
 
 
@@ -93,7 +94,7 @@ def cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
 
     Grows with the number of simple paths of that length that start at their least node.
     """
-    e = cut(trimmed(edges))
+    e = trimmed(edges)
     step = e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
     paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
     found = []
@@ -113,7 +114,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Each node takes the least node that reaches it; those that reach that node back are its component. They leave, and so on with the rest.
     Rounds grow with the length of shortest paths, not with cycles; the driver sees whether rows are left.
     """
-    left, found = cut(trimmed(edges)), None
+    left, found = trimmed(edges), None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("name")).union(left.select("dst")).distinct()
         color = cut(nodes.withColumn("color", F.col("name")))
@@ -129,7 +130,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         members = cut(back.unionByName(roots.select(F.col("start").alias("name"), F.col("start").alias("component"))))
         found = members if found is None else found.unionByName(members)
         gone = members.select("name")
-        left = cut(trimmed(left.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti")))
+        left = trimmed(left.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti"))
     if found is None:
         return left.select(F.col("src").alias("name"), F.col("dst").alias("component"), F.lit(0).cast("long").alias("size"))
     sizes = cut(found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"))
