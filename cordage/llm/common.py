@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Bytes of ASCII letters in lower case, of digits and of all characters beyond ASCII as they are; every other byte is a space.
+_ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
 _own_folder: dict[str, str] = {}
 #: Folders written since each open ``cleared`` block began, innermost last.
 _written: list[list[str]] = []
@@ -101,5 +104,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def plain_terms(text: str | None) -> list[bytes]:
+    """The UTF-8 bytes of the maximal runs of ASCII letters (A-Z as a-z), ASCII digits and characters beyond ASCII."""
+    return (text or "").encode("utf-8", "replace").translate(_ALNUM).split()
+
+
 def whole_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,11 +1,11 @@
-"""The ten queries and the pipeline, each over whole tables with production parameters."""
+"""The queries of the training-data operators, each over whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordage.llm import line_dedup
+from cordage.llm import bit_sliced, line_dedup
 from cordage.llm.common import table
 
 
@@ -79,5 +79,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cordage.llm.importance import resample
+
+    return resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources, op11_lexical_search, op12_importance_resampling)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": bit_sliced.ORACLE_SQL}
