@@ -34,6 +34,8 @@ from cordage.llm.suffix_dedup import _joined, _mixed
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 _NO_ID = (1 << 63) - 1
+#: A size class of the prefix filter reaches from a power of this to the next.
+SIZE_STEP = 1.05
 #: Shingles whose minima are taken at a time.
 _STRETCH = 1 << 12
 
@@ -100,22 +102,35 @@ def _place() -> tuple[Column, Column]:
 
 
 def _by_prefix(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of ``classes`` (cls, root, apart) that may be as similar, of different roots and with one apart at least; no such pair is missing."""
+    """(u, v): pairs of ``classes`` (cls, root, apart) that may be as similar, of different roots and with one apart at least; no such pair is missing.
+
+    Texts meet in a shingle and a size class. The larger text of a pair looks into the classes within reach, with as much of it as must be
+    left after the shingle for the smallest text of that class. So texts that share a frequent passage only do not meet in its
+    shingles, and a frequent shingle is as many keys as there are sizes.
+    """
     rows = staged(sets.join(classes.hint("merge"), "cls").select("cls", "root", "apart", "grams"), "question")
     every = rows.select("cls", F.explode("grams").alias("gram"))
     shared = staged(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     # A text's shingles that others hold too, the rarest first; those that it holds alone stand before them.
     held = every.join(shared.hint("merge"), "gram").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("held"))
     rows = rows.withColumn("size", F.size("grams")).join(held.hint("merge"), "cls").withColumn("alone", F.col("size") - F.size("held"))
-    first = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1 - F.col("alone")).cast("int")
-    rows = rows.withColumns({"longer": first(similarity), "shorter": first(2 * similarity / (1 + similarity))})
-    placed = rows.select("cls", "root", "apart", "size", "alone", "shorter", F.posexplode(F.slice("held", F.lit(1), F.greatest("longer", F.lit(0)))).alias("at", "h"))
-    placed = staged(placed.select("cls", "root", "apart", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("h.gram").alias("gram"), (F.col("at") < F.col("shorter")).alias("indexed")), "prefixes")
-    named = lambda df, x: df.select("gram", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "root", "apart", "size", "left")])
+    first = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1 - F.col("alone")).cast("int")
+    placed = rows.select("cls", "root", "apart", "size", "alone", F.posexplode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "h"))
+    # How many shingles are left from here on, and the least that a pair of two sizes must have in common.
+    placed = staged(placed.select("cls", "root", "apart", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("h.gram").alias("gram")), "prefixes")
+    needed = lambda a, b: (a + b) * F.lit(similarity / (1 + similarity)) - 1e-9
+    of = lambda size: F.floor(F.log(size.cast("double")) / F.lit(float(np.log(SIZE_STEP))) + 1e-9).cast("int")
+    size, left = F.col("size"), F.col("left")
+    v = placed.filter(left >= needed(size, size)).select("gram", of(size).alias("among"), *[F.col(c).alias(f"v_{c}") for c in ("cls", "root", "apart", "size", "left")])
+    smallest = F.ceil(size * similarity - 1e-9)
+    u = placed.withColumn("among", F.explode(F.sequence(of(smallest), of(size))))
+    least = F.greatest(smallest.cast("double"), F.pow(F.lit(SIZE_STEP), F.col("among")) * (1 - 1e-6))
+    u = u.filter(left >= needed(size, least)).select("gram", "among", *[F.col(c).alias(f"u_{c}") for c in ("cls", "root", "apart", "size", "left")])
     smaller = (F.col("v_size") < F.col("u_size")) | ((F.col("v_size") == F.col("u_size")) & (F.col("v_cls") < F.col("u_cls")))
-    reach = F.least("u_left", "v_left") >= (F.col("u_size") + F.col("v_size")) * (similarity / (1 + similarity)) - 1e-9
+    reach = F.least("u_left", "v_left") >= needed(F.col("u_size"), F.col("v_size"))
     fit = (F.col("u_root") != F.col("v_root")) & (F.col("u_apart") | F.col("v_apart")) & smaller & (F.col("v_size") >= F.col("u_size") * similarity - 1e-9) & reach
-    met = named(placed, "u").join(named(placed.filter("indexed"), "v").hint("merge"), "gram").filter(fit)
+    # Both sides are files: a hot shingle of one size is one that Spark can split.
+    met = staged(u, "larger").join(staged(v, "smaller").hint("merge"), ["gram", "among"]).filter(fit)
     return staged(met.select(F.col("u_cls").alias("u"), F.col("v_cls").alias("v")).distinct(), "pairs")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordage.llm import bit_sliced, line_dedup
+from cordage.llm import bit_sliced, line_dedup, odd_sketch
 from cordage.llm.common import table
 
 
@@ -89,5 +89,9 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources, op11_lexical_search, op12_importance_resampling)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": bit_sliced.ORACLE_SQL}
+def op13_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_line_dedup, op7_quality_crf, op8_order_minhash, op9_token_output, op10_mix_sources, op11_lexical_search, op12_importance_resampling, op13_odd_sketch_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": bit_sliced.ORACLE_SQL, "op13_odd_sketch_near_dedup": odd_sketch.ORACLE_SQL}
