@@ -112,27 +112,33 @@ def windows(places: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return rows.select("doc_id", "text_hash", "length", "span", "first", "size", F.transform(inside, lambda p: p["h"]).alias("window"))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: the best window of every document and item that reach the threshold."""
+def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, item_id, similarity, first, length of every window and item that reach the threshold."""
     known = staged(_items(items).filter("length > 0").withColumn("blocks", all_blocks(F.col("shingles"))), "items")
     sizes = {r["width"]: r["n"] for r in known.groupBy("width").agg(F.sum(F.size("shingles")).alias("n")).collect()}  # 5 rows at most
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, first_word int, n_words int")
+        return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, similarity double, first int, length int")
     sent = F.broadcast if sum(sizes.values()) <= SENT_ROWS else (lambda df: df)
     close = staged(windows(_places(docs, known, sizes), threshold).withColumn("blocks", all_blocks(F.col("window"))), "windows")
     met = close.select("doc_id", "text_hash", "length", "first", F.explode("blocks").alias("b")).select("*", "b.*").drop("b")
     theirs = known.select("item_id", "length", F.explode("blocks").alias("b")).select("item_id", "length", "b.*")
     pairs = met.join(sent(theirs), ["length", "block", "bits"]).select("doc_id", "text_hash", "length", "first", "item_id").distinct()
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "text_hash", "length", "first")]
-    exact = pairs.alias("p").join(close.alias("c"), reduce(lambda a, b: a & b, same)).select("p.item_id", "c.doc_id", "c.first", "c.size", "c.window")
+    exact = pairs.alias("p").join(close.alias("c"), reduce(lambda a, b: a & b, same)).select("p.item_id", "c.doc_id", "c.text_hash", "c.first", "c.size", "c.window")
     exact = exact.join(sent(known.select("item_id", "length", "shingles")), "item_id")
     exact = exact.withColumn("common", common(F.col("window"), F.col("shingles")))
     exact = exact.withColumn("similarity", F.col("common") / (F.col("size") + F.size("shingles") - F.col("common"))).filter(F.col("similarity") >= threshold)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "length")).alias("m"))
+    return exact.select("doc_id", "text_hash", "item_id", "similarity", "first", "length")
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words: the best window of every document and item that reach the threshold."""
+    best = matches(spark, docs, items, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "length")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("first_word"), F.col("m.length").alias("n_words"))
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of the documents that hold no item."""
-    found = staged(contaminated(spark, docs, items).select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", "hit").alias("found")
-    return docs.alias("docs").join(found.hint("merge"), F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.hit")), "left_anti")
+    """The rows of ``docs``, all columns, whose text holds no item; another text under the same id stays."""
+    found = staged(matches(spark, docs, items).select("doc_id", "text_hash").distinct(), "contaminated").alias("found")
+    same = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("found.text_hash"))
+    return docs.alias("docs").join(found.hint("merge"), same, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import WORD, staged, word_count
+from cordage.llm.common import SPACE, WORD, staged, word_count
 from cordage.llm.prefix_sums import exclusive_sums, table_sums
 
 BLOCK_WORDS, SHARD_SLOTS, BUCKETS = 64, 16384, 1024
@@ -157,8 +157,8 @@ def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """What the mix takes of every document, one row per pass over its source that takes anything, with the columns of ``docs``.
 
-    A pass that takes the whole document keeps its text as it is; one that takes some of its blocks has their words, in order,
-    with single spaces between. ``n_chars`` is that of the new text.
+    A pass that takes the whole document keeps its text as it is; one that takes some of its blocks has their parts of the text, in order,
+    each with the white space before its words as it was. ``n_chars`` is that of the new text.
     """
     placed, _, slots = mix(spark, docs, **options)
     row = ["doc_id", "text_hash", "sid", "bucket", "nth"]
@@ -174,8 +174,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     named = named.withColumn("number", F.row_number().over(Window.partitionBy("id", "hash").orderBy(own("source"))))
     rows = named.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("number") == F.col("copy")))
     rows = rows.select("row", "size", F.explode("turns").alias("t")).withColumn("whole", F.col("t.taken") == F.col("size"))
-    rows = rows.withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all(own("text"), F.lit(WORD), F.lit(0))))
-    some = F.array_join(F.flatten(F.transform("t.cuts", lambda c: F.slice(F.col("words"), (c["first"] + 1).cast("int"), c["words"].cast("int")))), " ")
+    rows = rows.withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all(own("text"), F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("t.cuts", lambda c: F.slice(F.col("words"), (c["first"] + 1).cast("int"), c["words"].cast("int")))), "")
     rows = rows.select("row", F.when(F.col("whole"), own("text")).otherwise(some).alias("text"))
     new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

@@ -103,3 +103,29 @@ def test_stages_take_empty_tables_and_odd_rows(spark, sf):
             assert all((r._nth, r._hit, r._kept, r.size, r.cls, r.start) == (7, 8, 9, 10, 11, 12) for r in rows.collect()), name
         else:
             assert rows.count() == 5
+
+
+def test_decontamination_goes_by_id_and_text(spark, sf):
+    """A clean text stays, though another one under its id, or under no id, holds an item."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    clean = "words that are in no item of any kind and that nobody asks for"
+    docs = spark.createDataFrame([(1, item), (1, clean), (2, clean), (None, f"before {item} after"), (None, clean)], "doc_id long, text string")
+    rows = corpus_pipeline.decontaminate(spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == sorted([("1", clean), ("2", clean), ("None", clean)])
+
+
+def test_mix_keeps_white_space(spark):
+    """What is taken of a text in part is as it stands there: line breaks, indentation and runs of spaces."""
+    gaps = ["\n", "\n\n    ", "  ", "\t", " "]
+    docs = []
+    for d in range(6):
+        words = [f"d{d}w{i}" for i in range(700 + 50 * d)]
+        docs.append((d, "  " + "".join(w + gaps[i % 5] for i, w in enumerate(words)), f"s{d % 2}"))
+    texts = dict((d, t) for d, t, _ in docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    parts = [r for r in corpus_pipeline.mix(spark, frame, "").collect() if r.text != texts[r.doc_id]]
+    assert parts
+    for r in parts:
+        found = [(int(m[2]), m[1]) for m in re.finditer(r"(\s*)d\d+w(\d+)", r.text)]
+        assert "".join(f"{g}d{r.doc_id}w{i}" for i, g in found) == r.text
+        assert all(g == ("  " if i == 0 else gaps[(i - 1) % 5]) for i, g in found)
