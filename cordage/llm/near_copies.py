@@ -6,8 +6,8 @@ on average, and a radius that covers that meets every other text in any index of
 same hashes, where a pair of similarity s shares a band with probability 1 - (1 - s^5)^25: 0.99995 at 0.8, more above. Candidates of either kind are
 links only if their whole shingle sets (as 64-bit hashes) confirm it; texts of equal sets are one class from the start.
 
-The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by an
-order of its own), and the links' components are made. Where a member is in the hub's component, nothing
+The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by hash),
+and the links' components are made. Where a member is in the hub's component, nothing
 is left to find between it and others there. For every other member, exact candidates take the band's place. The shingles of the texts in question
 are ordered by how many of those texts hold them, the rarest first; two texts of similarity 0.8 or more have one in common among the first fifth of the larger's and the
 first ninth of the smaller's (prefix filter), with enough left after it in both. So texts that share a frequent passage and too little beside it make no pairs,
@@ -157,9 +157,9 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
     prints = staged(base.mapInArrow(_signatures(width, bands, rows), "doc long, text_hash long, cls long, fp long, bands array<long>"), "signatures")
     classes = staged(prints.groupBy("cls").agg(F.min(F.struct("doc", "text_hash")).alias("p"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).select("cls", "p.*", "fp", "bands"), "classes")
     placed = classes.select("cls", F.explode("bands").alias("band"))
-    # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
-    order = F.col("cls").bitwiseXOR(F.col("band"))
-    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1").select("band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("hub")), "hubs")
+    # One order for all bands, so that the texts of a group meet few hubs. What is joined back is staged first: a join of two plain exchanges is one
+    # whose hot keys Spark can split.
+    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"), "hubs")
     # Merged at any size: sending the shared bands to every task would hold for small tables only.
     near = staged(placed.join(hubs.hint("merge"), "band").filter("cls != hub"), "near")
     pairs = near.select("cls", F.col("hub").alias("other")).unionAll(_by_fingerprint(classes))

@@ -104,9 +104,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     heads = staged(prints.join(classes.select(F.col("cls").alias("row")).hint("merge"), "row").withColumnRenamed("row", "cls").select("cls", "doc_id", "text_hash", "bands", "sketch"), "heads")
 
     placed = heads.select("cls", F.explode("bands").alias("band"))
-    order = F.col("cls").bitwiseXOR(F.col("band"))
-    # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
-    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("band", "n", F.col("first").bitwiseXOR(F.col("band")).alias("hub")), "hubs")
+    # One order for all bands, so that the texts of a group meet few hubs. What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
+    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"), "hubs")
     # Merged at any size: sending the shared bands to every task would hold for small tables only.
     met = staged(placed.join(hubs.hint("merge"), "band").filter("cls != hub"), "met")
     pairs = staged(met.select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct(), "pairs")
