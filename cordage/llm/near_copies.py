@@ -6,9 +6,10 @@ on average, and a radius that covers that meets every other text in any index of
 same hashes, where a pair of similarity s shares a band with probability 1 - (1 - s^5)^25: 0.99995 at 0.8, more above. Candidates of either kind are
 links only if their whole shingle sets (as 64-bit hashes) confirm it; texts of equal sets are one class from the start.
 
-The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by hash),
-and the links' components are made. Where a member is in the hub's component, nothing
-is left to find between it and others there. For every other member, exact candidates take the band's place. The shingles of the texts in question
+The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by an
+order of its own), and the links' components are made. Where a member is in the hub's component, nothing
+is left to find between it and others there. The other members of a band choose a hub among themselves, and so on a few times. For those that are
+still apart, exact candidates take the band's place. The shingles of the texts in question
 are ordered by how many of those texts hold them, the rarest first; two texts of similarity 0.8 or more have one in common among the first fifth of the larger's and the
 first ninth of the smaller's (prefix filter), with enough left after it in both. So texts that share a frequent passage and too little beside it make no pairs,
 and none is lost.
@@ -34,6 +35,8 @@ from cordage.llm.suffix_dedup import _joined, _mixed
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 _NO_ID = (1 << 63) - 1
+#: How often those apart from a band's hub choose another among themselves.
+TURNS = 3
 #: A size class of the prefix filter reaches from a power of this to the next.
 SIZE_STEP = 1.05
 #: Shingles whose minima are taken at a time.
@@ -151,15 +154,22 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return classes.join(of("fp", "other"), "fp").filter("cls != other").select("cls", "other").unionAll(across)
 
 
+def _members(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, cls, root, apart (from the hub's component) of the members of bands of three or more, but for the hubs."""
+    own = near.filter("n > 2").join(roots.withColumnsRenamed({"node": "cls", "root": "own"}).hint("merge"), "cls", "left")
+    both = own.join(roots.withColumnsRenamed({"node": "hub", "root": "hubs"}).hint("merge"), "hub", "left")
+    return staged(both.select("band", "cls", F.coalesce("own", "cls").alias("root"), (F.coalesce("own", "cls") != F.coalesce("hubs", "hub")).alias("apart")), "members")
+
+
 def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """cls, doc, text_hash (its least row's), root: the classes of equal shingle sets and the component of each."""
     base = docs.select(*_place(), F.col("text").cast("string").alias("text"))
     prints = staged(base.mapInArrow(_signatures(width, bands, rows), "doc long, text_hash long, cls long, fp long, bands array<long>"), "signatures")
     classes = staged(prints.groupBy("cls").agg(F.min(F.struct("doc", "text_hash")).alias("p"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")).select("cls", "p.*", "fp", "bands"), "classes")
     placed = classes.select("cls", F.explode("bands").alias("band"))
-    # One order for all bands, so that the texts of a group meet few hubs. What is joined back is staged first: a join of two plain exchanges is one
-    # whose hot keys Spark can split.
-    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"), "hubs")
+    # What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
+    order = F.col("cls").bitwiseXOR(F.col("band"))
+    hubs = staged(placed.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1").select("band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("hub")), "hubs")
     # Merged at any size: sending the shared bands to every task would hold for small tables only.
     near = staged(placed.join(hubs.hint("merge"), "band").filter("cls != hub"), "near")
     pairs = near.select("cls", F.col("hub").alias("other")).unionAll(_by_fingerprint(classes))
@@ -172,9 +182,18 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
     sure = _confirmed(pairs, sets, similarity)
     roots = staged(components(sure), "roots")
 
-    own = near.filter("n > 2").join(roots.withColumnsRenamed({"node": "cls", "root": "own"}).hint("merge"), "cls", "left")
-    both = own.join(roots.withColumnsRenamed({"node": "hub", "root": "hubs"}).hint("merge"), "hub", "left")
-    members = staged(both.select("band", "cls", F.coalesce("own", "cls").alias("root"), (F.coalesce("own", "cls") != F.coalesce("hubs", "hub")).alias("apart")), "members")
+    members = _members(near, roots)
+    for turn in range(TURNS):
+        # Those apart from their hub meet another one of their own, so that what belongs together becomes one component before it is compared at large.
+        apart = staged(members.filter("apart").select("band", "cls", "root"), "apart")
+        others = staged(apart.groupBy("band").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", "band", F.lit(turn))).alias("o"), F.count("*").alias("m")).filter("m > 1").select("band", F.col("o.cls").alias("other"), F.col("o.root").alias("theirs")), "others")
+        again = apart.join(others.hint("merge"), "band").filter("root != theirs").select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct()
+        again = staged(again, "pairs")
+        if again.isEmpty():
+            break
+        sure = sure.unionAll(_confirmed(again, sets, similarity))
+        roots = staged(components(sure), "roots")
+        members = _members(near, roots)
     open_bands = staged(members.filter("apart").select("band").distinct(), "bands")
     second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
     more = _by_prefix(second, sets, similarity)
