@@ -289,6 +289,19 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return calls.join(one, "callee_method", "left").withColumn("callee_cls", F.coalesce("owner", "caller_cls")).drop("owner")
 
 
+def super_calls(calls: DataFrame, methods: DataFrame, parents: DataFrame, depth: int = 20) -> DataFrame:
+    """Adds callee_cls and steps: the nearest ancestor of the caller's class (up the primary base, at least one step) that defines the method; both null where none does.
+
+    calls: caller_cls, callee_method; methods: cls, name; parents: name, parent, one row per name. A class and method that call often are looked up once.
+    """
+    asked = cut(calls.select("caller_cls", "callee_method").distinct())
+    chain = ancestor_chain(parents, asked.select(F.col("caller_cls").alias("start")).distinct(), depth)
+    defined = methods.select(F.col("cls").alias("ancestor"), F.col("name").alias("callee_method")).distinct()
+    found = asked.join(chain.withColumnRenamed("start", "caller_cls"), "caller_cls").join(defined, ["ancestor", "callee_method"])
+    nearest = found.groupBy("caller_cls", "callee_method").agg(F.min(F.struct(F.col("depth").alias("steps"), F.col("ancestor").alias("callee_cls"))).alias("m"))
+    return calls.join(nearest.select("caller_cls", "callee_method", "m.callee_cls", "m.steps"), ["caller_cls", "callee_method"], "left")
+
+
 def method_callers(calls: DataFrame, cls: Column, method: Column) -> DataFrame:
     """The first call (by ord) of every caller to the method; a call without a class matches any."""
     hits = calls.filter((F.col("callee_method") == method) & (F.col("callee_cls").isNull() | (F.col("callee_cls") == cls)))

@@ -832,3 +832,20 @@ def lifecycle_methods(spark, sf):
     m = K.methods(spark, sf)
     entries = m.join(P.entry_points(m, ["BeginPlay", "Update"]).select("cls", "name"), ["cls", "name"], "left_semi").groupBy("cls").agg(F.count("*").alias("entries"))
     return m.groupBy("cls").agg(F.count("*").alias("methods")).join(entries, "cls", "left").select("cls", "methods", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
+
+
+SUPER = f"""WITH {B.HIERARCHY}, def AS (SELECT DISTINCT 'n:' || s_nationkey AS cls, s_suppkey % 5 + 1 AS name FROM supplier UNION SELECT 'r:' || n_regionkey, n_nationkey % 5 + 1 FROM nation),
+asked AS (SELECT 'c:' || o_custkey AS caller_cls, CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS callee_method, count(*) AS calls FROM orders GROUP BY ALL),
+up AS (SELECT a.name AS start, a.parent AS one, b.parent AS two FROM hier a LEFT JOIN hier b ON a.parent = b.name)
+SELECT caller_cls, callee_method, calls, CASE WHEN d1.cls IS NOT NULL THEN one WHEN d2.cls IS NOT NULL THEN two ELSE '-' END AS callee_cls, CAST(CASE WHEN d1.cls IS NOT NULL THEN 1 WHEN d2.cls IS NOT NULL THEN 2 ELSE 0 END AS BIGINT) AS steps
+FROM asked LEFT JOIN up ON start = caller_cls LEFT JOIN def d1 ON d1.cls = one AND d1.name = callee_method LEFT JOIN def d2 ON d2.cls = two AND d2.name = callee_method"""
+
+
+@query(SUPER)
+def super_calls(spark, sf):
+    text = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    named = lambda t, p, k, m: B.table(spark, sf, t).select(text(p, k).alias("cls"), (F.col(m) % 5 + 1).cast("long").alias("name"))
+    methods = named("supplier", "n:", "s_nationkey", "s_suppkey").unionByName(named("nation", "r:", "n_regionkey", "n_nationkey"))
+    asked = B.table(spark, sf, "orders").groupBy(text("c:", "o_custkey").alias("caller_cls"), F.substring("o_orderpriority", 1, 1).cast("long").alias("callee_method")).agg(F.count("*").alias("calls"))
+    found = G.super_calls(asked, methods, B.hierarchy(spark, sf))
+    return found.select("caller_cls", "callee_method", "calls", F.coalesce("callee_cls", F.lit("-")).alias("callee_cls"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))

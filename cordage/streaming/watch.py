@@ -89,11 +89,14 @@ def impact_of(changes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame
     return changes.join(reached, "cls", "left").select("cls", "changes", F.coalesce("affected", F.lit(0)).alias("affected"))
 
 
-def watch(events: DataFrame, edges: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "1 second", watermark: str = "5 seconds", depth: int = 3):
-    """Start a query that gives every micro-batch's analysis to ``sink``. The sink must be idempotent by batch number."""
+def watch(events: DataFrame, edges: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "1 second", watermark: str = "5 seconds", depth: int = 3, tests: DataFrame | None = None, issues: DataFrame | None = None):
+    """Start a query that gives every micro-batch's analysis to ``sink``: with ``tests`` (stem) and ``issues`` (cls, severity) that of
+    ``analysis_of``, else the impact alone. The sink must be idempotent by batch number."""
     bursts = debounced(events, gap, watermark)
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(impact_of(batch.select("cls", "changes"), edges, depth), number)
+        changes = batch.select("cls", "changes")
+        whole = tests is not None and issues is not None
+        sink(analysis_of(changes, edges, tests, issues, depth) if whole else impact_of(changes, edges, depth), number)
 
     return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()

@@ -118,3 +118,13 @@ def test_fragments_merge(spark):
     rows = [("P", "a.cs", "N1", ["Q"], ["x"]), ("P", "b.cs", "N2", ["Q", "R"], ["y"]), ("Z", "c.cs", "", None, None)]
     got = {r.name: (r.namespace, r.base_types, r.members, r.fragments) for r in G.merge_fragments(spark.createDataFrame(rows, "name string, file_path string, namespace string, base_types array<string>, members array<string>")).collect()}
     assert got == {"P": ("N1", ["Q", "R"], ["x", "y"], 2), "Z": ("", [], [], 1)}
+
+
+def test_super_calls(spark):
+    """The nearest definition above the caller: its own does not count, a far one is found, an unknown method has none, a ring of bases ends."""
+    parents = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D"), ("X", "Y"), ("Y", "X")], "name string, parent string")
+    methods = spark.createDataFrame([("A", "f"), ("B", "g"), ("C", "f"), ("D", "f"), ("D", "g"), ("D", "h"), ("X", "k")], "cls string, name string")
+    calls = spark.createDataFrame([("A", "f"), ("A", "f"), ("A", "g"), ("B", "g"), ("B", "h"), ("D", "f"), ("A", "no"), ("Y", "k"), ("X", "f")], "caller_cls string, callee_method string")
+    got = sorted(tuple(r) for r in G.super_calls(calls, methods, parents).na.fill("-", ["callee_cls"]).na.fill(0, ["steps"]).collect())
+    assert got == [("A", "f", "C", 2), ("A", "f", "C", 2), ("A", "g", "B", 1), ("A", "no", "-", 0), ("B", "g", "D", 2), ("B", "h", "D", 2), ("D", "f", "-", 0), ("X", "f", "-", 0), ("Y", "k", "X", 1)]
+    assert G.super_calls(calls.limit(0), methods, parents).count() == 0

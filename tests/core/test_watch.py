@@ -74,3 +74,26 @@ def test_analysis(spark):
     issues = spark.createDataFrame([("P", "Error"), ("P", "Info"), ("X", "Error")], "cls string, severity string")
     got = {r.cls: r[1:] for r in W.analysis_of(changes, edges, tests, issues).collect()}
     assert got == {"P": (2, 2, 2, 2, 1), "N": (1, 0, 0, 0, 0)}
+
+
+def test_stream_gives_the_whole_analysis(spark, tmp_path):
+    """With tests and issues, a batch's rows are those of ``analysis_of``; a query that starts again from its checkpoint gives no row twice."""
+    src = f"file://{tmp_path}/in"
+    events(spark).write.parquet(src)
+    events(spark, [(60.0, "Z")]).write.mode("append").parquet(src)
+    edges = spark.createDataFrame([("X", "P"), ("Y", "X")], "src string, dst string")
+    tests = spark.createDataFrame([("PTest",), ("Unit",)], "stem string")
+    issues = spark.createDataFrame([("P", "Error"), ("P", "Info")], "cls string, severity string")
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, path string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
+        q = W.watch(W.change_events(stream), edges, lambda df, n: seen.extend((r.cls, r.affected, r.tests, r.issues, r.errors) for r in df.collect()), f"file://{tmp_path}/cp", tests=tests, issues=issues)
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    first = sorted(seen)
+    assert ("P", 2, 1, 2, 1) in first and ("R", 0, 0, 0, 0) in first
+    run()
+    assert sorted(seen) == first
