@@ -7,6 +7,8 @@ The SQL texts are common table expressions for DuckDB; each query's SQL starts w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def wiki_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("type"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("body"), F.md5(F.col("text").cast("binary")).alias("fingerprint"), "doc_id", "source")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def note_index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the index of all notes as its version 1, built by the application's first query that asks for it; later versions may follow."""
+    from cordage.operators.note_index import upsert
+    from cordage.plans.iterate import shared_folder
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/cordage/notes-{uuid.uuid4().hex}"
+        upsert(spark, path, wiki_nodes(spark, sf_dir), names=False)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 NODES = "node AS (SELECT c_custkey AS name, n_name AS namespace, r_name AS file_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 

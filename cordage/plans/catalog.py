@@ -13,6 +13,7 @@ from cordage.operators import filters as X
 from cordage.operators import gameplay as P
 from cordage.operators import graph as G
 from cordage.operators import lint as L
+from cordage.operators import note_index as I
 from cordage.operators import reports as R
 from cordage.operators import search as S
 from cordage.plans import bindings as B
@@ -507,7 +508,48 @@ len AS (SELECT id, CAST(count(*) AS DOUBLE) AS l FROM tok GROUP BY id), st AS (S
 df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), sc AS (SELECT tf.id, -sum(CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / avgl))) AS score FROM tf JOIN df USING (term) JOIN len USING (id), st GROUP BY tf.id)
 SELECT id, round(score, 6) AS score FROM sc""")
 def bm25_search(spark, sf):
-    return S.bm25(B.wiki_nodes(spark, sf), ["inea", "the", "erent"]).select("id", F.round("score", 6).alias("score"))
+    return I.ranking(spark, B.note_index(spark, sf), I.parsed("inea the erent"), version=1).select("id", F.round("score", 6).alias("score"))
+
+
+def _bm25_sql(tokens: list[str], wiki: str = B.WIKI, notes: str = "wiki") -> str:
+    """SQL of sc (id, score) by the definition over whole texts: a trailing star makes a token a beginning, whose words count together."""
+    case = " UNION ALL ".join(f"SELECT id, {i} AS token, sum(w) AS f FROM tok WHERE " + (f"starts_with(term, '{t[:-1]}')" if t.endswith("*") else f"term = '{t}'") + " GROUP BY id" for i, t in enumerate(tokens))
+    return rf"""{wiki}, tok AS (SELECT id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) AS term, 10.0 AS w FROM {notes} UNION ALL SELECT id, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')), 1.0 FROM {notes}),
+len AS (SELECT id, CAST(count(*) AS DOUBLE) AS l FROM tok GROUP BY id), st AS (SELECT (SELECT count(*) FROM {notes}) AS n, (SELECT sum(l) FROM len) / (SELECT count(*) FROM {notes}) AS avgl), tf AS ({case}),
+df AS (SELECT token, count(*) AS d FROM tf GROUP BY token), sc AS (SELECT tf.id, -sum(CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / avgl))) AS score FROM tf JOIN df USING (token) JOIN len USING (id), st GROUP BY tf.id)"""
+
+
+@query(rf"WITH {B.WIKI} SELECT term, count(DISTINCT id) AS notes FROM (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || body), '[\p{{L}}\p{{N}}]+')) AS term FROM wiki) GROUP BY term")
+def note_vocabulary(spark, sf):
+    return I.vocabulary(spark, B.note_index(spark, sf), version=1)
+
+
+def _snippet_sql(t: str) -> str:
+    return rf"WHEN contains(lower(body), '{t}') THEN regexp_replace(regexp_extract(body, '(?i)((?:\S+\s+){{0,7}}\S*{t}\S*(?:\s+\S+){{0,7}})', 1), '(?i)({t})', '**\1**', 'g')"
+
+
+@query(f"""WITH {_bm25_sql(["license", "aning", "the"])}, top AS (SELECT id, score, row_number() OVER (ORDER BY score, id) AS rank FROM sc)
+SELECT CAST(rank AS INTEGER) AS rank, id, title, round(score, 6) AS score, CASE {_snippet_sql("license")} {_snippet_sql("aning")} {_snippet_sql("the")} ELSE '' END AS snippet FROM top JOIN wiki USING (id) WHERE rank <= 20""")
+def bm25_best(spark, sf):
+    found = I.best(spark, B.note_index(spark, sf), I.parsed("license aning the"), limit=20, version=1).rows
+    return found.select("rank", "id", "title", F.round("score", 6).alias("score"), "snippet")
+
+
+@query(f"""WITH {_bm25_sql(["anti*", "lic*", "ates"])} SELECT id, round(score, 6) AS score FROM sc""")
+def bm25_prefix(spark, sf):
+    return I.ranking(spark, B.note_index(spark, sf), I.parsed("anti* lic* ates"), version=1).select("id", F.round("score", 6).alias("score"))
+
+
+UPSERTED = B.WIKI + ", changed AS (SELECT id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN doc_id % 10 = 0 THEN 'inea ' || body ELSE body END AS body FROM wiki WHERE doc_id % 13 <> 1)"
+
+
+@query(f"""WITH {_bm25_sql(["inea", "new", "ates"], UPSERTED, "changed")} SELECT id, round(score, 6) AS score FROM sc""")
+def bm25_after_upsert(spark, sf):
+    """The index after new texts for some notes and the removal of others."""
+    w, path = B.wiki_nodes(spark, sf), B.note_index(spark, sf)
+    new = w.filter("doc_id % 10 = 0 AND doc_id % 13 <> 1").select("id", "type", F.concat(F.lit("new "), "title").alias("title"), F.concat(F.lit("inea "), "body").alias("body"))
+    version = I.upsert(spark, path, new, removed=w.filter("doc_id % 13 = 1").select("id"))
+    return I.ranking(spark, path, I.parsed("inea new ates"), version=version).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {B.WIKI} SELECT type, count(*) AS notes, count(*) FILTER (doc_id % 7 = 0) AS stale, count(DISTINCT source) AS sources FROM wiki GROUP BY type")
