@@ -10,10 +10,27 @@ from pyspark.sql import functions as F
 from cordage.operators.reports import variants
 from cordage.sources.assets import likely_tag, stem
 
-# Root classes by kind, words of state names, labels that are none.
+# Root classes by kind.
 KIND_ROOTS = [("UGameplayAbility", "ability"), ("UGameplayEffect", "effect"), ("UAttributeSet", "attribute_set"), ("UAbilitySystemComponent", "component")]
-STATE_WORDS = ["Idle", "Walk", "Run", "Jump", "Fall", "Land", "Attack", "Death", "Dead", "Hit", "Stun", "Crouch", "Sprint", "Dodge", "Roll", "Aim", "Reload", "Locomotion", "Combat", "Start", "Stop", "Loop"]
-GRAPH_LABELS = ["AnimGraph", "EventGraph", "Result", "Output Pose", "None", "Default"]
+# Words of state names, labels of graphs, beginnings of descriptions, hints in notifies' names, and type numbers of animators.
+STATE_WORDS = [
+    "Idle", "Walk", "Run", "Jump", "Land", "Fall", "Attack", "Death", "Hit", "Dodge", "Cast", "Aim", "Crouch", "Sprint", "Slide", "Roll", "Jog", "Fly", "Swim", "Climb", "Grab", "Throw",
+    "Block", "Parry", "Stagger", "Knockback", "Stunned", "Dead", "Spawn", "Locomotion", "Fire", "Shoot", "Kick", "Punch", "Slash", "Dash", "Evade", "Guard", "Stand", "Sit", "Attacking",
+    "Moving", "Falling", "Landing",
+]
+GRAPH_LABELS = ["Anim Graph", "Event Graph", "Macro Graph", "Uber Graph", "Option 0", "Option 1", "Option 2", "Option 3", "Entry", "Result", "Output"]
+DESCRIPTIONS = [
+    "The ", "A ", "An ", "This ", "Set ", "Get ", "If ", "When ", "Whether ", "Executed ", "Always ", "Skip ", "Allow ", "Reset ", "Transfer ", "Create ", "Can ", "Input ", "Output ", "alpha ",
+    "Reinitialize", "Scale ", "Start from", "LOD ", "Play Rate", "Blend Space", "Slot Name", "Blend Weight", "Blend Time", "Blend Type", "Blend Mode", "Blend Pose", "Blend Poses", "Blend Masks",
+    "Blend Weights", "Blend Profile", "Blend Settings", "Blend Depth", "Loop Animation", "Loop", "Start Position", "Play Rate Basis", "Max Transitions", "Max Iterations", "Reach Precision",
+    "Soft Alpha", "Soft Percent", "Alpha Scale", "Alpha Curve", "Alpha Input", "Group Name", "Group Role", "Layer Setup", "Local Pose", "Component Pose", "Base Pose", "Internal Time",
+    "Ignore for", "Foot IK", "Legs Definition", "Upper Body Layer", "Curve Blend", "Mesh Space", "Root Space", "Transition Type", "Child Upate", "Custom Blend", "Active Value", "Is Valid",
+    "Is Not Valid", "Is Falling", "Is Attacking", "Is Accelerating", "Is in Air", "Ground Speed", "Should Move", "Movement Component", "Character Movement", "Orient Rotation", "Rotation Last",
+    "Yaw Delta", "Asset User", "Event Queue", "Control Rig", "Lean intensity", "Setting Yaw",
+]
+NOTIFY_HINTS = ["Ability", "GAS", "GameplayAbility", "GameplayCue", "Effect", "Attack", "Fire", "Launch", "Activate", "ApplyEffect", "TriggerAbility", "Event"]
+PARAMETER_TYPES = {"0": "Float", "1": "Int", "2": "Bool", "3": "Trigger", "9": "Bool"}
+BLEND_TYPES = {"0": "1D", "1": "2D Simple", "2": "2D Freeform", "3": "Direct"}
 UE_CATEGORIES = [("A", "actor"), ("U", "object"), ("F", "struct"), ("E", "enum"), ("I", "interface")]
 
 
@@ -109,13 +126,48 @@ def length_prefixed(text: Column, least: int = 3, most: int = 64) -> Column:
 
 
 def likely_state(name: Column) -> Column:
-    """A state's name: 30 characters at most, no graph label; several words of which one is a known word or capitalised; or one word with a known one in it."""
+    """A state's name: 30 characters at most, no graph label, no beginning of a description; several words of which one is a known word or capitalised; or one word with a known one in it."""
     words = F.split(name, r"[ /\-]+")
     known = F.array(*[F.lit(w) for w in STATE_WORDS])
     several = name.rlike(r"^[A-Za-z0-9][A-Za-z0-9 /\-]+$") & (name != F.lower(name)) & F.exists(words, lambda w: F.array_contains(known, w) | (w.rlike("^[A-Z]") & (F.length(w) >= 3) & (F.length(w) <= 15)))
     parts = F.regexp_extract_all(name, F.lit(r"([A-Z][a-z]+)"), F.lit(1))
     single = name.isin(*STATE_WORDS) | (name.rlike(r"^[A-Z][a-z]+(?:[A-Z][a-z]+)*$") & (F.length(name) <= 20) & F.arrays_overlap(parts, known))
-    return ~name.isin(*GRAPH_LABELS) & (F.length(name) <= 30) & F.when(F.contains(name, F.lit(" ")), several).otherwise(single)
+    return ~name.isin(*GRAPH_LABELS) & ~name.rlike(f"^({'|'.join(DESCRIPTIONS)})") & (F.length(name) <= 30) & F.when(F.contains(name, F.lit(" ")), several).otherwise(single)
+
+
+def ability_notify(name: Column) -> Column:
+    """Whether a notify's name hints at abilities, letters in either case."""
+    return F.lower(name).rlike("|".join(h.lower() for h in NOTIFY_HINTS))
+
+
+def named_by(number: Column, names: dict[str, str]) -> Column:
+    """The name of a type's number (``PARAMETER_TYPES``, ``BLEND_TYPES``); a number without one stays."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), number), number)
+
+
+def tag_matches(tag: Column, category: str | None = None, keyword: str | None = None) -> Column:
+    """The tag is the category or below it, and holds the keyword; letters in either case."""
+    low = F.lower(tag)
+    right = F.lit(True) if not category else low.startswith(category.lower() + ".") | (low == category.lower())
+    return right & low.contains(keyword.lower()) if keyword else right
+
+
+def abilities_matching(abilities: DataFrame, category: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Of abilities (name, tags) those whose name holds the keyword or of whose tags one matches; all without category and keyword. A null name or
+    null tags match nothing."""
+    if not (category or keyword):
+        return abilities
+    by_tag = F.coalesce(F.exists("tags", lambda t: F.coalesce(tag_matches(t, category, keyword), F.lit(False))), F.lit(False))
+    by_name = F.coalesce(F.lower("name").contains(keyword.lower()), F.lit(False)) if keyword else F.lit(False)
+    return abilities.filter(by_name | by_tag)
+
+
+def assets_matching(assets: DataFrame, keyword: str | None = None) -> DataFrame:
+    """Of assets (name, classes, tags) those that hold the keyword in the name, a class they refer to, or a tag; all without one."""
+    if not keyword:
+        return assets
+    held = lambda c: F.coalesce(F.exists(c, lambda x: F.coalesce(F.lower(x).contains(keyword.lower()), F.lit(False))), F.lit(False))
+    return assets.filter(F.coalesce(F.lower("name").contains(keyword.lower()), F.lit(False)) | held("classes") | held("tags"))
 
 
 def animation_assets(assets: DataFrame) -> DataFrame:

@@ -849,6 +849,22 @@ def phrase_search(spark, sf):
     return S.phrase_search(B.wiki_nodes(spark, sf), ["the", "of"])
 
 
+HINTED = "(" + " OR ".join(f"contains(lower(name), '{h.lower()}')" for h in P.NOTIFY_HINTS) + ")"
+
+
+@query(f"SELECT name, {HINTED} AS hints FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents)")
+def notify_hints(spark, sf):
+    words = B.table(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name")).distinct()
+    return words.select("name", P.ability_notify(F.col("name")).alias("hints"))
+
+
+@query("WITH tag AS (SELECT p_partkey, p_name AS name, p_type || '.' || p_brand AS t, replace(p_name, ' ', '.') AS u FROM part) SELECT p_partkey, name FROM tag WHERE contains(lower(name), 'd#1') OR (lower(t) = 'standard' OR starts_with(lower(t), 'standard.')) AND contains(lower(t), 'd#1') OR (lower(u) = 'standard' OR starts_with(lower(u), 'standard.')) AND contains(lower(u), 'd#1')")
+def abilities_by_tag(spark, sf):
+    tags = F.array(F.concat_ws(".", "p_type", "p_brand"), F.replace("p_name", F.lit(" "), F.lit(".")))
+    rows = B.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), tags.alias("tags"))
+    return P.abilities_matching(rows, "Standard", "d#1").select("p_partkey", "name")
+
+
 TYPE_TEXTS = ["List<Enemy>", "Dictionary<string, Game.Hero>", "Hero?", "Game.Core.Enemy[]", "int", "Task<List<Boss>>"]
 
 
