@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,9 @@ class WordEncoder:
         for p in pieces:
             if p in parts:
                 continue
-            if self._same and self._printable.fullmatch(p):
+            if self._same and p[-1] in b".,;:!?)" and p[:-1].isalpha():
+                found = [p[:-1], p[-1:]]
+            elif self._same and self._printable.fullmatch(p):
                 found = self._parts.findall(p)
             elif p[-1] in b".," and self._marked.search(p):
                 bare = p.rstrip(b".,")
@@ -135,16 +138,23 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode("utf-8", "replace") for t in texts]
         split = [None if b"<|" in b else b.lower().split() for b in raw]
-        seen = set().union(*(s for s in split if s))
-        if new := seen.difference(self._ids):
+        words = list(chain.from_iterable(s for s in split if s))
+        found = list(map(self._ids.get, words))
+        if missing := [i for i, ids in enumerate(found) if ids is None]:
+            new = {words[i] for i in missing}
             if len(self._ids) + len(new) > KEPT_WORDS // 2:
                 self._older, self._ids = self._ids, {}
-                new = seen
-            met = new.intersection(self._older)
-            self._ids.update((w, self._older[w]) for w in met)
-            self._learn(list(new.difference(met)))
-        get = self._ids.__getitem__
-        return [self._plain([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+            # The intersection of a set with a dictionary would read the whole dictionary.
+            unknown = new.difference(self._older)
+            self._ids.update((w, self._older[w]) for w in new.difference(unknown))
+            self._learn(list(unknown))
+            for i in missing:
+                found[i] = self._ids[words[i]]
+        out, at = [], 0
+        for t, s in zip(texts, split, strict=True):
+            out.append(self._plain([t])[0] if s is None else b"".join(found[at : at + len(s)]))
+            at += len(s or ())
+        return out
 
 
 def _filesystem(uri: str):
