@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cordage.functions import text as T
 from cordage.operators import compose as C
+from cordage.operators import delta_graph as D
 from cordage.operators import filters as X
 from cordage.operators import gameplay as P
 from cordage.operators import graph as G
@@ -18,6 +20,7 @@ from cordage.operators import reports as R
 from cordage.operators import search as S
 from cordage.plans import bindings as B
 from cordage.plans import code as K
+from cordage.plans.iterate import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -907,3 +910,47 @@ def super_calls(spark, sf):
     asked = B.table(spark, sf, "orders").groupBy(text("c:", "o_custkey").alias("caller_cls"), F.substring("o_orderpriority", 1, 1).cast("long").alias("callee_method")).agg(F.count("*").alias("calls"))
     found = G.super_calls(asked, methods, B.hierarchy(spark, sf))
     return found.select("caller_cls", "callee_method", "calls", F.coalesce("callee_cls", F.lit("-")).alias("callee_cls"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
+
+
+_graphs: dict[tuple[str, str], str] = {}
+
+
+def _graph_store(spark, sf) -> D.Store:
+    """The graph of orders in files, one for each day, in two commits: the days before the cutoff with drafts of January 1995 (its edges turned round); then the days
+    from the cutoff on are new and the drafts deleted, so that all orders count. Made by the application's first query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _graphs:
+        return D.Store(spark, _graphs[key])
+    o = B.ordered(spark, sf)
+    after = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority", "o_orderdate").orderBy("o_orderkey"))
+    kind = F.when(F.col("o_orderpriority").startswith("4"), "Inheritance").otherwise("Field")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    edges = o.select(day.alias("file"), F.col("o_custkey").alias("src"), after.alias("dst"), kind.alias("kind")).filter("dst IS NOT NULL")
+    drafts = edges.filter("file LIKE '1995-01-%'").select(F.concat(F.lit("draft:"), "file").alias("file"), F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
+    old = edges.filter(F.col("file") < B.CUTOFF).unionByName(drafts)
+    new = edges.filter(F.col("file") >= B.CUTOFF)
+    store = D.Store(spark, f"{shared_folder(spark)}/cordage/graph-{uuid.uuid4().hex}", key="long", buckets=16)
+    store.fold(old.select("file").distinct(), old)
+    store.fold(new.select("file").union(drafts.select("file")).distinct(), new)
+    _graphs[key] = store.path
+    return store
+
+
+DAYS = f"""day_0 AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS file, o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) AS dst, CASE WHEN o_orderpriority LIKE '4%' THEN 'Inheritance' ELSE 'Field' END AS kind FROM orders),
+day AS (SELECT * FROM day_0 WHERE dst IS NOT NULL), first AS (SELECT src, dst, kind FROM day WHERE file < '{B.CUTOFF}' UNION SELECT dst, src, kind FROM day WHERE file LIKE '1995-01-%'),
+sa AS (SELECT dst AS name, count(*) AS s FROM first WHERE kind <> 'Inheritance' AND src <> dst GROUP BY dst), sb AS (SELECT dst AS name, count(*) AS s FROM (SELECT DISTINCT src, dst, kind FROM day) WHERE kind <> 'Inheritance' AND src <> dst GROUP BY dst)"""
+
+
+@query(f"WITH {DAYS} SELECT coalesce(sa.name, sb.name) AS name, coalesce(sa.s, 0) AS before, coalesce(sb.s, 0) AS after, coalesce(sb.s, 0) - coalesce(sa.s, 0) AS delta FROM sa FULL JOIN sb ON sa.name = sb.name WHERE coalesce(sa.s, 0) <> coalesce(sb.s, 0)")
+def delta_coupling(spark, sf):
+    return _graph_store(spark, sf).coupling_changes(1, 2)
+
+
+@query(f"WITH {DAYS} SELECT DISTINCT src, dst, kind FROM day")
+def delta_edges(spark, sf):
+    return _graph_store(spark, sf).edges(2)
+
+
+@query(f"WITH RECURSIVE {B.EDGES}, {REACH} SELECT name, component, count(*) OVER (PARTITION BY component) AS size FROM scc")
+def delta_components(spark, sf):
+    return _graph_store(spark, sf).components(2)
