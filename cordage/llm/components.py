@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from cordage.llm.common import staged
 
 
-def _outward(edges: DataFrame) -> DataFrame:
+def _outward(both: DataFrame, least: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbours and itself."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # Staged before it is joined back: a join of two plain exchanges is one whose hot nodes Spark can split.
-    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return both.filter("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _inward(edges: DataFrame) -> DataFrame:
@@ -24,22 +21,19 @@ def _inward(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that is not the least of its component.
+    """(node, root) for every node that is not the least of its component; files, that need no staging again.
 
     ``edges`` (u, v), in either direction, repeats allowed. Each round is written to the shared
-    folder; rounds grow with the logarithm of the longest chain. The driver sees counts only.
+    folder; rounds grow with the logarithm of the longest chain. The driver sees no rows.
     """
-    now = staged(edges.filter("u != v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        now = staged(_inward(_outward(now)), "edges")
-        after = _state(now)
-        if after == state:
-            break
-        state = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = staged(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while True:
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Staged before it is joined back: a join of two plain exchanges is one whose hot nodes Spark can split.
+        inner = (F.min("v") < F.col("u")) & (F.min("v") != F.max("v"))
+        least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), inner.alias("inner")), "least")
+        # Where a node with a smaller neighbour has no other one, all are stars about their least nodes.
+        if least.filter("inner").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = staged(_inward(_outward(both, least)), "edges")

@@ -8,7 +8,7 @@ links only if their whole shingle sets (as 64-bit hashes) confirm it; texts of e
 
 The members of a band are never paired with each other at large. First each is compared with the band's hub (the least by an
 order of its own), and the links' components are made. Where a member is in the hub's component, nothing
-is left to find between it and others there. The other members of a band choose a hub among themselves, and so on a few times. For those that are
+is left to find between it and others there. The other members of a band choose a few hubs among themselves, all at once. For those that are
 still apart, exact candidates take the band's place. The shingles of the texts in question
 are ordered by how many of those texts hold them, the rarest first; two texts of similarity 0.8 or more have one in common among the first fifth of the larger's and the
 first ninth of the smaller's (prefix filter), with enough left after it in both. So texts that share a frequent passage and too little beside it make no pairs,
@@ -35,8 +35,8 @@ from cordage.llm.suffix_dedup import _joined, _mixed
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 _NO_ID = (1 << 63) - 1
-#: How often those apart from a band's hub choose another among themselves.
-TURNS = 3
+#: How many hubs those apart from a band's hub choose among themselves.
+HUBS = 3
 #: A size class of the prefix filter reaches from a power of this to the next.
 SIZE_STEP = 1.05
 #: Shingles whose minima are taken at a time.
@@ -143,7 +143,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     both = one.join(sets.select(F.col("cls").alias("v"), F.col("grams").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     fit = F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * similarity
-    return staged(both.filter(fit).filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "links")
+    return both.filter(fit).filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components ``roots`` with more links."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(links))
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -179,26 +184,24 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
     wanted = staged(classes.select("cls", "doc", "text_hash").join(named.hint("merge"), "cls"), "wanted")
     texts = base.join(wanted.hint("merge"), ["doc", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(width), "cls long, grams array<long>"), "sets")
-    sure = _confirmed(pairs, sets, similarity)
-    roots = staged(components(sure), "roots")
+    roots = components(_confirmed(pairs, sets, similarity))
 
     members = _members(near, roots)
-    for turn in range(TURNS):
-        # Those apart from their hub meet another one of their own, so that what belongs together becomes one component before it is compared at large.
-        apart = staged(members.filter("apart").select("band", "cls", "root"), "apart")
-        others = staged(apart.groupBy("band").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", "band", F.lit(turn))).alias("o"), F.count("*").alias("m")).filter("m > 1").select("band", F.col("o.cls").alias("other"), F.col("o.root").alias("theirs")), "others")
-        again = apart.join(others.hint("merge"), "band").filter("root != theirs").select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct()
-        again = staged(again, "pairs")
-        if again.isEmpty():
-            break
-        sure = sure.unionAll(_confirmed(again, sets, similarity))
-        roots = staged(components(sure), "roots")
+    # Those apart from their hub meet a few others of their own, so that what belongs together becomes one component before it is compared at large. All
+    # in one go: a turn for each would cost the driver the plans and jobs of all components anew.
+    apart = members.filter("apart")
+    drawn = F.array_distinct(F.array(*[F.min_by(F.struct(F.col("cls").alias("other"), F.col("root").alias("theirs")), F.xxhash64("cls", "band", F.lit(i))) for i in range(HUBS)]))
+    others = staged(apart.groupBy("band").agg(drawn.alias("drawn"), F.count("*").alias("m")).filter("m > 1").select("band", F.inline("drawn")), "others")
+    again = apart.join(others.hint("merge"), "band").filter("root != theirs").select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct()
+    again = staged(again, "pairs")
+    if not again.isEmpty():
+        roots = _merged(roots, _confirmed(again, sets, similarity))
         members = _members(near, roots)
     open_bands = staged(members.filter("apart").select("band").distinct(), "bands")
     second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
     more = _by_prefix(second, sets, similarity)
-    if more.limit(1).count():
-        roots = staged(components(sure.unionAll(_confirmed(more, sets, similarity))), "roots")
+    if not more.isEmpty():
+        roots = _merged(roots, _confirmed(more, sets, similarity))
     return classes.join(roots.hint("merge"), classes.cls == roots.node, "left").select("cls", "doc", "text_hash", F.coalesce("root", "cls").alias("root"))
 
 

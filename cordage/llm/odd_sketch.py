@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cordage.llm.common import staged, trimmed
 from cordage.llm.components import components
-from cordage.llm.near_copies import _by_prefix, _confirmed, _sets, _slices, shingles
+from cordage.llm.near_copies import _by_prefix, _confirmed, _merged, _sets, _slices, shingles
 
 WIDTH, SIMILARITY, BANDS, ROWS, BITS = 4, 0.8, 40, 5, 512
 #: Candidates whose sketches estimate less than this are not looked at.
@@ -115,8 +115,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     wanted = staged(heads.select("cls", "doc_id", "text_hash").join(named.hint("merge"), "cls").withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "wanted")
     texts = base.join(wanted.hint("merge"), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).dropDuplicates(["cls"]).select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(width), "cls long, grams array<long>"), "sets")
-    sure = _confirmed(near, sets, similarity)
-    roots = staged(components(sure), "roots")
+    roots = components(_confirmed(near, sets, similarity))
 
     own = met.filter("n > 2").join(roots.withColumnsRenamed({"node": "cls", "root": "own"}).hint("merge"), "cls", "left")
     both = own.join(roots.withColumnsRenamed({"node": "hub", "root": "hubs"}).hint("merge"), "hub", "left")
@@ -125,7 +124,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
     more = _near(_by_prefix(second, sets, similarity), heads, bands * rows, bits)
     if not more.isEmpty():
-        roots = staged(components(sure.unionAll(_confirmed(more, sets, similarity))), "roots")
+        roots = _merged(roots, _confirmed(more, sets, similarity))
 
     rooted = staged(classes.join(roots.hint("merge"), classes.cls == roots.node, "left").select("key", "least", F.coalesce("root", "cls").alias("root")), "rooted")
     named = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")

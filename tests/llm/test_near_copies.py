@@ -6,6 +6,8 @@ pytest.importorskip("cordage.llm")
 import corpus_pipeline
 
 from cordage.llm import near_copies as M
+from cordage.llm.common import cleared
+from cordage.llm.components import components
 
 
 def plain_shingles(text):
@@ -82,3 +84,31 @@ def test_frequent_passage_makes_few_pairs(spark):
     rows = list(enumerate(texts))
     roots = plain_groups(texts)
     assert sorted(d for d, _ in kept(spark, rows)) == sorted(set(roots))
+
+
+def test_stage_writes_few_tables(spark):
+    """Every table that a stage writes is an action with jobs and plans that the driver holds: their number is bounded where texts are left apart from their hub, too."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(80)]
+    texts = [" ".join(passage + [word() for _ in range(rng.randrange(8, 40))]) for _ in range(60)]
+    texts += [t + " " + word() for t in texts[:40:4]]
+    with cleared(spark) as written:
+        found = kept(spark, list(enumerate(texts)))
+        tables = [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in written]
+    assert sorted(d for d, _ in found) == sorted(set(plain_groups(texts)))
+    assert "others" in tables and "larger" in tables  # hubs among those apart, and the prefix filter, have had their turn
+    assert len(tables) <= 50 and tables.count("members") <= 2
+
+
+def test_components_end_at_stars(spark):
+    """Stars are seen to be done without another round, whatever the links' direction and repeats; chains, rings and loops come to their least nodes."""
+    star = [(5, i) for i in range(6, 20)] + [(7, 5), (5, 7), (5, 5)]
+    with cleared(spark) as written:
+        assert sorted(map(tuple, components(spark.createDataFrame(star, "u long, v long")).collect())) == [(i, 5) for i in range(6, 20)]
+        assert len(written) == 2
+    chain = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)]
+    ring = [(200 + i, 200 + (i + 1) % 9) for i in range(9)]
+    want = [(i, 0) for i in range(1, 101)] + [(i, 200) for i in range(201, 209)]
+    assert sorted(map(tuple, components(spark.createDataFrame([*chain, *ring, (300, 300)], "u long, v long")).collect())) == want
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
