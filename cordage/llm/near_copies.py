@@ -182,7 +182,8 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
     # Only the texts of classes that are in a pair are read again, once for both comparisons.
     named = staged(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct(), "named")
     wanted = staged(classes.select("cls", "doc", "text_hash").join(named.hint("merge"), "cls"), "wanted")
-    texts = base.join(wanted.hint("merge"), ["doc", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text")
+    # Repeated rows meet where the join has brought them together: the texts do not move again.
+    texts = base.join(wanted.hint("merge"), ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash", "cls"]).select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(width), "cls long, grams array<long>"), "sets")
     roots = components(_confirmed(pairs, sets, similarity))
 
@@ -198,10 +199,11 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity:
         roots = _merged(roots, _confirmed(again, sets, similarity))
         members = _members(near, roots)
     open_bands = staged(members.filter("apart").select("band").distinct(), "bands")
-    second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
-    more = _by_prefix(second, sets, similarity)
-    if not more.isEmpty():
-        roots = _merged(roots, _confirmed(more, sets, similarity))
+    if not open_bands.isEmpty():
+        second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
+        more = _by_prefix(second, sets, similarity)
+        if not more.isEmpty():
+            roots = _merged(roots, _confirmed(more, sets, similarity))
     return classes.join(roots.hint("merge"), classes.cls == roots.node, "left").select("cls", "doc", "text_hash", F.coalesce("root", "cls").alias("root"))
 
 

@@ -93,6 +93,11 @@ def _near(pairs: DataFrame, classes: DataFrame, samples: int, bits: int) -> Data
     return staged(both.filter(estimate(differing, samples, bits) >= LEAST_ESTIMATE).select("u", "v"), "near")
 
 
+def _place() -> tuple[Column, Column, Column]:
+    """What a text is read again by: its id, whether that is null, and its hash."""
+    return F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), F.col("text_hash")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (whether that is its own) of every document (doc_id, text)."""
     text = F.col("text").cast("string")
@@ -100,8 +105,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     prints = base.mapInArrow(_signatures(width, bands, rows, bits), "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>")
     # A class is known by the number of one of its rows, which lasts as the rows are files.
     prints = staged(prints.withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = staged(prints.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least")), "classes")
-    heads = staged(prints.join(classes.select(F.col("cls").alias("row")).hint("merge"), "row").withColumnRenamed("row", "cls").select("cls", "doc_id", "text_hash", "bands", "sketch"), "heads")
+    first = F.min(F.struct("row", "doc_id", "text_hash")).alias("first")
+    # Equal sets have equal bands and sketches.
+    heads = prints.filter("n_shingles > 0").groupBy("key").agg(first, F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    heads = staged(heads.select("key", F.col("first.row").alias("cls"), "least", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "bands", "sketch"), "heads")
 
     placed = heads.select("cls", F.explode("bands").alias("band"))
     # One order for all bands, so that the texts of a group meet few hubs. What is joined back is staged first: a join of two plain exchanges is one whose hot keys Spark can split.
@@ -112,8 +119,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     near = _near(pairs, heads, bands * rows, bits)
     # The texts of all classes that met are read again, once for both comparisons.
     named = staged(met.select("cls").unionAll(met.select("hub")).distinct(), "named")
-    wanted = staged(heads.select("cls", "doc_id", "text_hash").join(named.hint("merge"), "cls").withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "wanted")
-    texts = base.join(wanted.hint("merge"), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).dropDuplicates(["cls"]).select("cls", "text")
+    wanted = staged(heads.select("cls", "doc_id", "text_hash").join(named.hint("merge"), "cls").select("cls", *_place()), "wanted")
+    # Repeated rows meet where the join has brought them together: the texts do not move again.
+    place = ["id", "no_id", "text_hash"]
+    texts = base.select(*_place(), "text").join(wanted.hint("merge"), place).dropDuplicates([*place, "cls"]).select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(width), "cls long, grams array<long>"), "sets")
     roots = components(_confirmed(near, sets, similarity))
 
@@ -121,12 +130,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, si
     both = own.join(roots.withColumnsRenamed({"node": "hub", "root": "hubs"}).hint("merge"), "hub", "left")
     members = staged(both.select("band", "cls", F.coalesce("own", "cls").alias("root"), (F.coalesce("own", "cls") != F.coalesce("hubs", "hub")).alias("apart")), "members")
     open_bands = staged(members.filter("apart").select("band").distinct(), "bands")
-    second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
-    more = _near(_by_prefix(second, sets, similarity), heads, bands * rows, bits)
-    if not more.isEmpty():
-        roots = _merged(roots, _confirmed(more, sets, similarity))
+    if not open_bands.isEmpty():
+        second = members.join(open_bands.hint("merge"), "band", "left_semi").groupBy("cls").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
+        more = _near(_by_prefix(second, sets, similarity), heads, bands * rows, bits)
+        if not more.isEmpty():
+            roots = _merged(roots, _confirmed(more, sets, similarity))
 
-    rooted = staged(classes.join(roots.hint("merge"), classes.cls == roots.node, "left").select("key", "least", F.coalesce("root", "cls").alias("root")), "rooted")
+    rooted = staged(heads.join(roots.hint("merge"), heads.cls == roots.node, "left").select("key", "least", F.coalesce("root", "cls").alias("root")), "rooted")
     named = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = staged(rooted.join(named.hint("merge"), "root").select("key", "component_id"), "named")
     linked = prints.filter("n_shingles > 0").join(named.hint("merge"), "key").select("doc_id", "n_shingles", "component_id")

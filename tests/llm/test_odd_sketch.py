@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 pytest.importorskip("cordage.llm")
 from cordage.llm import near_copies
 from cordage.llm import odd_sketch as M
+from cordage.llm.common import cleared
+from cordage.llm.components import components
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -117,3 +119,37 @@ def test_estimates(spark):
         assert abs(np.mean(got) - s) < 0.01 and np.std(got) < spread and (s > 0.8 or min(got) > M.LEAST_ESTIMATE)
     frame = spark.createDataFrame([(0,), (70,), (256,), (400,)], "m int").select(M.estimate(F.col("m"), 200))
     assert [round(r[0], 6) for r in frame.collect()] == [1.0, round(1 + 0.64 * math.log(1 - 140 / 512), 6), 0.0, 0.0]
+
+
+def test_ends_where_nothing_is_apart(spark):
+    """Where every link is one to a band's hub, no task of the prefix filter runs; ids that are null, 0 or repeated are told apart when texts are read again."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(60)) for _ in range(12)]
+    docs = [(i + 1, t) for i, t in enumerate(texts)] + [(i + 101, t + " more") for i, t in enumerate(texts[:6])] + [(None, texts[7]), (0, texts[7]), (0, texts[7]), (None, texts[8] + " end"), (0, texts[8])]
+    with cleared(spark) as written:
+        assert linked(spark, docs) == plain(docs)
+        tables = [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in written]
+    assert "members" in tables and "question" not in tables
+
+
+def test_components_shuffle_little(spark):
+    """A round of components computes each of its tables once."""
+    stars = [(100 * k, 100 * k + i) for k in range(8) for i in range(1, 12)] + [(100 * k, 100 * k + 105) for k in range(7)]
+    context, names = spark.sparkContext, ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, ["false", "-1"]):
+        spark.conf.set(name, value)
+    context.setJobGroup("components", "components")
+    try:
+        with cleared(spark) as written:
+            found = components(spark.createDataFrame(stars, "u long, v long"))
+            status = context.statusTracker()
+            stages = {s for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds}
+            ran = sum(1 for s in stages if (i := status.getStageInfo(s)) and i.numCompletedTasks)
+            rounds = sum("/edges-" in path for path in written) - 1
+            assert sorted(map(tuple, found.collect())) == sorted({(v, 0) for e in stars for v in e if v})
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert rounds and ran <= 8 + 13 * rounds, (ran, rounds)
