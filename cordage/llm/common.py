@@ -76,16 +76,21 @@ def cleared(spark: SparkSession) -> Iterator[list[str]]:
         delete(spark, path)
 
 
+def release() -> None:
+    """Gives memory that this Python process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after which the Python worker gives unused memory back: a worker serves many tasks and stages, and what one held at its
     peak would otherwise stay with it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        release()
 
     return task
 

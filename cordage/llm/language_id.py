@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordage.llm.byte_cnn import WINDOW, ByteCNN, windows_of
-from cordage.llm.common import held_out, trimmed
+from cordage.llm.common import held_out, release, trimmed
 
 #: Documents that are learned from of each language and of all together, windows of a document.
 LEARN_DOCUMENTS, LEARN_SAMPLE, LEARN_WINDOWS = 500, 100_000, 6
@@ -60,6 +60,9 @@ def learn(spark: SparkSession, docs: DataFrame, documents: int = LEARN_DOCUMENTS
         return None
     network = ByteCNN(classes)
     network.fit(np.stack(data), np.array(labels))
+    # The driver goes on to later stages: what training took does not stay with it.
+    del rows, data, labels
+    release()
     return network
 
 

@@ -71,17 +71,24 @@ def _uniform(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def draw_slots(spark: SparkSession, quotas: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """shard, sid, slot (number within the source, through all shards), pass, block of every slot of the mix."""
-    head = quotas.agg(F.coalesce(F.max("slots"), F.lit(0)), F.count("*")).first()
-    slots, fine = int(head[0]), max(CELLS, CELLS_A_SOURCE * int(head[1]))
-    shards = -(-slots // shard_slots)
+def _drawn(spark: SparkSession, quotas: DataFrame, slots: int, sources: int, seed: int, shard_slots: int) -> DataFrame:
+    """shard, i (number within the shard), sid of every slot: its source by a draw of its own."""
+    shards, fine = -(-slots // shard_slots), max(CELLS, CELLS_A_SOURCE * sources)
     drawn = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(slots) - F.col("id") * shard_slots).cast("int") - 1)).alias("i"))
     drawn = drawn.withColumn("u", _uniform(F.lit(seed), "shard", "i")).withColumn("cell", F.floor(F.col("u") * fine).cast("long"))
     # The part of a source covers whole cells and two parts of cells: as many rows as cells and sources together.
     cells = quotas.filter("quota > 0").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * fine).cast("long"), F.least(F.floor(F.col("high") * fine), F.lit(fine - 1)).cast("long"))).alias("cell"))
-    drawn = drawn.join(cells, "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("shard", "i", "sid")
-    drawn = staged(drawn, "draws")
+    # Said by the join, as Spark takes the slots for few rows, one per shard, and would send all of them to every task.
+    drawn = drawn.join(F.broadcast(cells) if sources <= CELLS else cells.hint("merge"), "cell")
+    return drawn.filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("shard", "i", "sid")
+
+
+def draw_slots(spark: SparkSession, quotas: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """shard, sid, slot (number within the source, through all shards), pass, block of every slot of the mix."""
+    head = quotas.agg(F.coalesce(F.max("slots"), F.lit(0)), F.count("*")).first()
+    slots = int(head[0])
+    shards = -(-slots // shard_slots)
+    drawn = staged(_drawn(spark, quotas, slots, int(head[1]), seed, shard_slots), "draws")
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("shard") / 64))
     counts = exclusive_sums(counts, ["sid"], "span", ["shard"], "n", "base").select("shard", "sid", "base")
     inside = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("i")) - 1

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cordage.llm.common import new_path, staged, trimmed, whole_parts
+from cordage.llm.common import new_path, release, staged, trimmed, whole_parts
 
 MAGIC = b"CTOK0001"
 RECORD = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids", "<u8")])
@@ -254,11 +254,14 @@ def train_dictionary(spark: SparkSession, docs: DataFrame, definition: str) -> b
     documents with the least id hash; empty where there is too little to train on."""
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCUMENTS)
     rows = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, DICT_IDS * 4).alias("text")).orderBy("text").limit(DICT_DOCUMENTS).collect()
-    samples = [b[: DICT_IDS * 4] for b in WordEncoder.of(definition).encode([r[0] for r in rows])] if rows else []
-    total = sum(map(len, samples))
-    if len(samples) < 16 or total < 32 * 1024:
-        return b""
-    return zstandard.train_dictionary(min(DICT_BYTES, total // 8), samples).as_bytes()
+    # An encoder of its own, that the driver does not keep.
+    samples = [b[: DICT_IDS * 4] for b in WordEncoder(definition).encode([r[0] for r in rows])] if rows else []
+    total, trained = sum(map(len, samples)), b""
+    if len(samples) >= 16 and total >= 32 * 1024:
+        trained = zstandard.train_dictionary(min(DICT_BYTES, total // 8), samples).as_bytes()
+    del rows, samples
+    release()
+    return trained
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, definition: str, end_id: int, level: int = 3) -> tuple[DataFrame, bytes]:

@@ -140,3 +140,11 @@ def test_quality_odd_rows(spark):
     assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id is not None and r.doc_id < 60)
     none = Q.score(spark, docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and Q.score(spark, docs.limit(0), labels).count() == 0
+
+
+def test_language_gives_training_memory_back(spark, monkeypatch):
+    """The driver goes on to other stages, so what training took goes back."""
+    freed = []
+    monkeypatch.setattr(L, "release", lambda: freed.append(1))
+    docs = spark.createDataFrame([(i, f"the cat and the dog number {i} ran on", "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert L.learn(spark, docs) is not None and freed

@@ -96,3 +96,14 @@ def test_permutations_differ_by_key(spark):
     rows = df.collect()
     steps = {(b.k0 - a.k0) % 1000 for a, b in zip(rows, rows[1:], strict=False)}
     assert len(steps) > 400 and sum(r.k0 == r.k1 for r in rows) < 20  # no stride, and another order for another key
+
+
+def test_slots_stay_on_the_executors(spark, capsys):
+    """The slots of the mix grow with its words: of the two sides of their draw, the sources' cells are the one that is sent; many sources are not sent either."""
+    quotas = spark.createDataFrame([(1, 40_000, 0.0, 0.4), (2, 60_000, 0.4, 1.0)], "sid long, quota long, low double, high double")
+    drawn = M._drawn(spark, quotas, 100_000, 2, 20, 16384)
+    drawn.explain()
+    assert "BuildRight" in (plan := capsys.readouterr().out) and "BuildLeft" not in plan
+    assert drawn.count() == 100_000
+    M._drawn(spark, quotas, 100_000, M.CELLS + 1, 20, 16384).explain()
+    assert "SortMergeJoin" in capsys.readouterr().out

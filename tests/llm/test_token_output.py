@@ -59,3 +59,13 @@ def test_odd_rows(spark, definition):
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 3), (0, 3, 1), (1, 4, 1), (1, 5, 2), (1, 7, 2)]
     none = M.write_tokens(spark, spark.createDataFrame([], "doc_id long, text string"), definition, 1)
     assert M.read_tokens(spark, *none).count() == 0
+
+
+def test_driver_keeps_no_encoder(spark, definition, monkeypatch):
+    """The driver encodes the dictionary's samples only: neither the encoder nor the memory it took stay with it."""
+    freed = []
+    monkeypatch.setattr(M, "_encoders", {})
+    monkeypatch.setattr(M, "release", lambda: freed.append(1))
+    docs = spark.createDataFrame([(i, f"the words of document {i} and what follows them " * 40) for i in range(60)], "doc_id long, text string")
+    assert M.train_dictionary(spark, docs, definition)
+    assert not M._encoders and freed
