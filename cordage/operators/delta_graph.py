@@ -10,6 +10,7 @@ Each commit adds one segment ``seg=`` of Parquet files that never change, dealt
 What stands at a version is the sum over its segments. A commit reads of older segments the buckets of the changed files, of the touched edges' ends, and for cycles
 those that a search from the new edges meets: a component changes only if it holds a new edge, or lost an inner one. So the nodes that new edges' targets
 reach and that reach new edges' sources, with the components that lost an edge, are solved anew by themselves; all others keep their rows.
+Solving takes rounds by the diameter, and the driver holds their plans. A store whose edges and coupling alone are asked for is made without ``members``.
 
 Nulls: rows without file, src, dst or kind are left out. An edge that a file holds several times counts once. Rows of files that are not named as changed
 are left out. An empty change commits an empty segment; an empty graph has no rows.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordage.operators.graph import strong_components
-from cordage.plans.iterate import cut
+from cordage.plans.iterate import cut, tidy
 from cordage.plans.versions import commit, current, manifest
 
 #: Kinds of edges that coupling leaves out.
@@ -36,12 +37,12 @@ def _bucket(c: Column | str, buckets: int) -> Column:
 
 
 class Store:
-    """The graph at ``path``; names of nodes have the type ``key``, which with the number of buckets holds from the first commit on."""
+    """The graph at ``path``; names of nodes have the type ``key``, which with the number of buckets, and whether ``members`` are kept, holds from the first commit on."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "string", buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, key: str = "string", buckets: int = BUCKETS, members: bool = True):
         first = manifest(spark, path, 1) if current(spark, path) else {}
         self.spark, self.path = spark, path
-        self.key, self.buckets = first.get("key", key), first.get("buckets", buckets)
+        self.key, self.buckets, self.members = first.get("key", key), first.get("buckets", buckets), first.get("members", members if not first else True)
         k = self.key
         self._schemas = {
             "files": f"file string, src {k}, dst {k}, kind string, n long",
@@ -79,7 +80,8 @@ class Store:
         dealt = rows.withColumn("seg", F.lit(seg)).withColumn("bucket", _bucket(by, self.buckets))
         # Ranges split a bucket that is large; sorted inside, so that statistics of a file leave its parts out.
         ranged = dealt.repartitionByRange(*also, "bucket", by).sortWithinPartitions(*also, "bucket", by)
-        ranged.write.mode("append").partitionBy("seg", *also, "bucket").parquet(f"{self.path}/{what}")
+        with tidy(self.spark):
+            ranged.write.mode("append").partitionBy("seg", *also, "bucket").parquet(f"{self.path}/{what}")
 
     def edges(self, version: int | None = None) -> DataFrame:
         """src, dst, kind of the version, each once."""
@@ -91,6 +93,7 @@ class Store:
 
     def components(self, version: int | None = None) -> DataFrame:
         """name, component (its least name), size of every name on a cycle of any length."""
+        self._keeps_members()
         return self._summed("members", self.segments(version)).select("name", "component", "size")
 
     def fold(self, changed: DataFrame, edges: DataFrame, base: int | None = None) -> int:
@@ -114,8 +117,13 @@ class Store:
         coupled = moved.filter(~F.col("kind").isin(*UNCOUPLED) & (F.col("src") != F.col("dst")))
         scores = coupled.groupBy(F.col("dst").alias("name")).agg(F.sum("change").cast("long").alias("n")).filter("n != 0")
         self._write(scores, "scores", "name", seg)
-        self._write(self._member_changes(moved, old, mine), "members", "name", seg)
-        return commit(self.spark, self.path, base, {"segments": old + mine, "key": self.key, "buckets": self.buckets})
+        if self.members:
+            self._write(self._member_changes(moved, old, mine), "members", "name", seg)
+        return commit(self.spark, self.path, base, {"segments": old + mine, "key": self.key, "buckets": self.buckets, "members": self.members})
+
+    def _keeps_members(self) -> None:
+        if not self.members:
+            raise ValueError(f"{self.path} was made without members: its components are not kept")
 
     def _file_changes(self, files: DataFrame, edges: DataFrame, old: list[str]) -> DataFrame:
         now = edges.select(F.col("file").cast("string").alias("file"), F.col("src").cast(self.key).alias("src"), F.col("dst").cast(self.key).alias("dst"), "kind")
@@ -181,6 +189,7 @@ class Store:
 
     def cycle_changes(self, before: int, after: int) -> DataFrame:
         """name, component, size, change: rows of components that are in one of the versions only, added or removed. Only the segments between are read."""
+        self._keeps_members()
         old, new = self.segments(before), self.segments(after)
         rows = self._summed("members", [s for s in new if s not in old])
         return rows.select("name", "component", "size", F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"))

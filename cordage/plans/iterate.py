@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cordage-"))
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written into the shared folder and read again: a loop's plan starts anew, with the sizes known to the optimizer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cordage/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,15 +2,19 @@
 
 import random
 import shutil
+import time
 import uuid
 from pathlib import Path
 
 import pytest
 
+from cordage.operators import delta_graph
 from cordage.operators.delta_graph import Store, changed_files
-from cordage.plans.iterate import shared_folder
+from cordage.plans import catalog
+from cordage.plans.iterate import cut, shared_folder
 from cordage.plans.versions import Conflict
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 EDGES = "file string, src string, dst string, kind string"
 
 
@@ -116,6 +120,46 @@ def test_buckets_of_unchanged_files_are_not_read(spark):
     assert {(r.src, r.dst) for r in s.edges().collect()} == {(f"a{i}", f"b{i}") for i in range(40) if i != 3} | {("a3", "c")}
 
 
+def test_a_store_without_members_solves_no_components(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("components are solved")
+
+    monkeypatch.setattr(delta_graph, "strong_components", refused)
+    s = Store(spark, f"{shared_folder(spark)}/test-graph-{uuid.uuid4().hex}", buckets=4, members=False)
+    put(spark, s, {"a": {("x", "y", "Field"), ("y", "x", "Field")}})
+    put(spark, s, {"b": {("z", "y", "Field")}})
+    edges = {("x", "y", "Field"), ("y", "x", "Field"), ("z", "y", "Field")}
+    again = Store(spark, s.path)
+    assert {tuple(r) for r in again.edges().collect()} == edges
+    assert {r.name: r.score for r in again.coupling().collect()} == scores(edges)
+    assert {tuple(r) for r in again.coupling_changes(1, 2).collect()} == {("y", 1, 2, 1)}
+    for asked in (again.components, lambda: again.cycle_changes(1, 2)):
+        with pytest.raises(ValueError):
+            asked()
+
+
+def test_delta_coupling_solves_no_components(spark, sf, monkeypatch):
+    def refused(*_):
+        raise AssertionError("components are solved")
+
+    monkeypatch.setattr(delta_graph, "strong_components", refused)
+    monkeypatch.setattr(catalog, "_graphs", {})
+    assert catalog.QUERIES["delta_coupling"](spark, sf).count() > 0
+
+
+def test_shuffle_files_go_with_what_is_written(spark):
+    assert spark.conf.get(CLEANUP) == "false"
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    # What other tests have left goes when it goes; only new files count.
+    before = set(local.rglob("shuffle_*.data"))
+    made = cut(spark.range(1000).repartition(7))
+    wait = time.time() + 20
+    while set(local.rglob("shuffle_*.data")) - before and time.time() < wait:
+        time.sleep(0.2)
+    assert not set(local.rglob("shuffle_*.data")) - before and spark.conf.get(CLEANUP) == "false"
+    assert made.count() == 1000
+
+
 def test_empty_null_repeated_and_foreign_rows(spark):
     s = store(spark)
     assert put(spark, s, {}) == 1
