@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import count
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordage.plans.iterate import cut, numbered
+from cordage.plans.iterate import cut, numbered, placed
+from cordage.plans.versions import delete
 
 LAZY_ROUNDS = 4
+#: Rows that one turn of a search puts together at once: so many times the edges, and so many at least.
+TURN_EDGES, TURN_ROWS = 2, 8_000_000
 
 
 def dedupe_edges(edges: DataFrame, keys=("src", "dst", "kind"), drop_self: bool = True) -> DataFrame:
@@ -81,31 +85,72 @@ def direct_cycles(edges: DataFrame) -> DataFrame:
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges between nodes that have both incoming and outgoing ones, so tried ``rounds`` times: all that can be on a cycle stay."""
-    e = cut(edges.filter("src != dst").select("src", "dst").distinct())
+    e, path = placed(edges.filter("src != dst").select("src", "dst").distinct())
     for _ in range(rounds):
-        # A round reads its edges four times: they are made once.
+        # A round reads its edges four times: they are made once, and those of the round before go.
         both = e.select(F.col("src").alias("name")).intersect(e.select("dst"))
-        e = cut(e.join(both.withColumnRenamed("name", "dst"), "dst", "left_semi").join(both.withColumnRenamed("name", "src"), "src", "left_semi").select("src", "dst"))
+        before = path
+        e, path = placed(e.join(both.withColumnRenamed("name", "dst"), "dst", "left_semi").join(both.withColumnRenamed("name", "src"), "src", "left_semi").select("src", "dst"))
+        delete(e.sparkSession, before)
     return e
 
 
+def _halves(first: DataFrame, step: DataFrame, name: str, steps: int) -> list[DataFrame]:
+    """Of 1 to ``steps`` steps from each start over greater nodes: start and the nodes of the path in columns name1, name2 and on. first: start, name1; step: at, next."""
+    paths = [first]
+    for k in range(2, steps + 1):
+        last, new = paths[-1], F.col("next") > F.col("start")
+        for i in range(1, k - 1):
+            new = new & (F.col("next") != F.col(f"{name}{i}"))
+        onward = last.join(step, F.col(f"{name}{k - 1}") == F.col("at")).filter(new)
+        paths.append(onward.select(*last.columns, F.col("next").alias(f"{name}{k}")))
+    return paths
+
+
+def _closed(ahead: DataFrame, behind: list[DataFrame], k: int, kind) -> DataFrame:
+    """path: cycles of an ahead half of ``k`` steps (f1 and on) and halves of k - 1 or k steps back (b1 and on) that meet at its last node."""
+    inner = [f"t{i}" for i in range(1, k)]
+    backs = []
+    for b in behind:
+        m = len(b.columns) - 1
+        way = [F.col(f"b{i}") for i in range(m - 1, 0, -1)] + [F.lit(None).cast(kind)] * (k - m)
+        backs.append(b.select("start", F.col(f"b{m}").alias(f"f{k}"), *[c.alias(t) for c, t in zip(way, inner, strict=True)]))
+    rows = ahead.join(reduce(DataFrame.unionAll, backs), ["start", f"f{k}"])
+    for t in inner:
+        rows = rows.filter(F.col(t).isNull() | ~F.col(t).isin(*[F.col(f"f{i}") for i in range(1, k)]))
+    return rows.select(F.array_compact(F.array("start", *[f"f{i}" for i in range(1, k + 1)], *inner)).alias("path"))
+
+
 def cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
     """path (from the least node on), length: all simple cycles of 2 to ``max_len`` nodes, of those with the same nodes the least path.
 
-    Grows with the number of simple paths of that length that start at their least node.
+    A cycle is put together from two halves, one on from its least node and one back from it, which meet: the work grows with the number of
+    simple paths of half that length over greater nodes. Least nodes are dealt to turns, so that what a turn shuffles stays near the edges' own size.
     """
     e = trimmed(edges)
-    step = e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
+    on = e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    back = e.select(F.col("dst").alias("at"), F.col("src").alias("next"))
+    kind = dict(e.dtypes)["src"]
+    turns = _cycle_turns(on, back) if max_len > 2 else 1
     found = []
-    for length in range(2, max_len + 1):
-        onward = paths.join(step, "at")
-        found.append(onward.filter("next = start").select("path"))
-        if length < max_len:
-            paths = onward.filter(F.col("next") > F.col("start")).filter(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-    every = reduce(DataFrame.unionAll, found)
-    best = every.groupBy(F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path"))
-    return best.select("path", F.size("path").cast("long").alias("length"))
+    for turn in range(turns):
+        mine = F.col("at") < F.col("next")
+        mine = mine & (F.pmod(F.xxhash64("at"), F.lit(turns)) == turn) if turns > 1 else mine
+        # A third of the paths start at their least node, either way.
+        ahead = _halves(on.filter(mine).select(F.col("at").alias("start"), F.col("next").alias("f1")), on, "f", (max_len + 1) // 2)
+        behind = _halves(back.filter(mine).select(F.col("at").alias("start"), F.col("next").alias("b1")), back, "b", max_len // 2)
+        every = [_closed(a, [behind[m - 1] for m in (k - 1, k) if 1 <= m and 2 <= k + m <= max_len], k, kind) for k, a in enumerate(ahead, 1)]
+        # Cycles of the same nodes have the same least node, and so the same turn.
+        best = reduce(DataFrame.unionAll, every).groupBy(F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path"))
+        found.append(cut(best.select("path", F.size("path").cast("long").alias("length"))))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _cycle_turns(on: DataFrame, back: DataFrame) -> int:
+    """Turns by the number of two-step paths: about two thirds of it are halves of cycles."""
+    n = on.groupBy("at").agg(F.count("*").alias("n")).join(back.groupBy("at").agg(F.count("*").alias("m")), "at")
+    found = n.agg(F.sum("n").alias("edges"), F.sum(F.col("n") * F.col("m")).alias("paths")).first()
+    return max(1, ceil(2 * (found.paths or 0) / 3 / max(TURN_EDGES * (found.edges or 0), TURN_ROWS)))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

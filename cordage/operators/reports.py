@@ -53,7 +53,8 @@ def usage_index(refs: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 def broken_references(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """References (key, asset) whose key is unknown, each key once, under the least asset."""
-    return refs.join(known.select(key), key, "left_anti").groupBy(key).agg(F.min("asset").alias("asset"))
+    # Grouped first: references to a key meet the known ones as one row.
+    return refs.groupBy(key).agg(F.min("asset").alias("asset")).join(known.select(key), key, "left_anti")
 
 
 def first_role(assets: DataFrame, roles: DataFrame) -> DataFrame:

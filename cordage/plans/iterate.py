@@ -37,11 +37,16 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written into the shared folder and read again: a loop's plan starts anew, with the sizes known to the optimizer."""
+    return placed(df)[0]
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same, and the folder it is in, for those who delete it when it is read no more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cordage/round-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-computed graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,59 @@ def test_dead_cycles_isolated(fx1):
     assert pairs(G.cycle_members(G.cycles(e, 4))) == {("A", 1), ("B", 1), ("C", 1)}
 
 
+def brute_cycles(edges, most):
+    step, found = {}, {}
+    for a, b in set(edges):
+        if a != b:
+            step.setdefault(a, set()).add(b)
+
+    def onward(path):
+        for n in step.get(path[-1], ()):
+            if n == path[0] and len(path) > 1:
+                found[frozenset(path)] = min(found.get(frozenset(path), path), path)
+            elif n > path[0] and n not in path and len(path) < most:
+                onward([*path, n])
+
+    for a in step:
+        onward([a])
+    return sorted(found.values())
+
+
+@pytest.mark.parametrize(("most", "turn_rows"), [(2, 10), (3, 10), (4, 8_000_000), (4, 10), (5, 10)])
+def test_cycles_from_halves_in_turns(spark, monkeypatch, most, turn_rows):
+    monkeypatch.setattr(G, "TURN_EDGES", 0)
+    monkeypatch.setattr(G, "TURN_ROWS", turn_rows)
+    r = random.Random(most)
+    rows = [(r.randrange(12), r.randrange(12)) for _ in range(40)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    turns = G._cycle_turns(*(e.filter("src != dst").distinct().toDF(*names).select("at", "next") for names in (("at", "next"), ("next", "at"))))
+    assert (turns > 1) == (turn_rows == 10)
+    found = G.cycles(e, most)
+    assert sorted(x.path for x in found.collect()) == brute_cycles(rows, most)
+    assert all(x.length == len(x.path) for x in found.collect())
+
+
+def test_cycles_put_no_three_step_paths_together(spark):
+    # Through four layers of 20 nodes lead 160,000 paths of three steps and 16,000 of two; none comes back in four.
+    layer = lambda a, b: [(a * 100 + i, b * 100 + j) for i in range(20) for j in range(20)]
+    rows = [(0, 100 + i) for i in range(20)] + layer(1, 2) + layer(2, 3) + layer(3, 4) + [(400 + i, 500) for i in range(20)] + [(500, 0)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert G.cycles(e, 4).count() == 0
+    made = []
+    for x in range(before, store.executionsCount()):
+        run = store.executionsList().apply(x)
+        values = store.executionMetrics(run.executionId())
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert made and max(made) < 100_000
+
+
 def test_impact(fx1, spark):
     _, e = fx1
     assert pairs(G.levels(e, start(spark, "A"), 3, reverse=True).select("name", "depth")) == {("C", 1), ("X", 1), ("B", 2)}
