@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordage.operators import graph as G
+from cordage.plans.iterate import cut
 
 
 def describe(members: DataFrame, methods: DataFrame, edges: DataFrame, parents: DataFrame, name: str, depth: int = 3) -> DataFrame:
@@ -24,14 +25,15 @@ def describe(members: DataFrame, methods: DataFrame, edges: DataFrame, parents:
     return up
 
 
-def health(nodes: DataFrame, edges: DataFrame, issues: DataFrame, max_len: int = 4) -> DataFrame:
-    """metric, value: types, references, dead types, direct and other cycles, highest coupling, issues by severity."""
-    found = G.cycles(edges, max_len)
+def health(nodes: DataFrame, edges: DataFrame, issues: DataFrame, max_len: int = 4, found: DataFrame | None = None) -> DataFrame:
+    """metric, value: types, references, dead types, direct and other cycles, highest coupling, issues by severity. found: the cycles, where they are known already."""
+    found = G.cycles(edges, max_len) if found is None else found
     one = lambda df, m: df.agg(F.count("*").alias("value")).select(F.lit(m).alias("metric"), "value")
     parts = [
         one(nodes, "types"), one(edges, "references"), one(G.dead_nodes(nodes, edges), "dead"), one(found.filter("length <= 2"), "direct_cycles"), one(found.filter("length > 2"), "other_cycles"),
         G.coupling(nodes, edges).agg(F.max("score").alias("value")).select(F.lit("highest_coupling").alias("metric"), "value"),
-        issues.groupBy(F.concat(F.lit("issues_"), F.lower("severity")).alias("metric")).agg(F.count("*").alias("value")),
+        # The rules' plan is long: it runs by itself, so that the driver doesn't hold it with the others.
+        cut(issues.groupBy(F.concat(F.lit("issues_"), F.lower("severity")).alias("metric")).agg(F.count("*").alias("value"))),
     ]
     out = parts[0]
     for p in parts[1:]:

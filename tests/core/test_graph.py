@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cordage.operators import graph as G
 from cordage.operators import reports as R
 from cordage.operators import search as S
+from cordage.plans import bindings, catalog
 
 FX1 = [("A", "B", "Field", "b1"), ("A", "B", "Field", "b2"), ("A", "B", "Parameter", "m(x)"), ("B", "C", "Property", "c"), ("C", "A", "Field", "a"), ("C", "D", "Inheritance", ""), ("D", "E", "Field", "e"), ("X", "A", "Field", "a"), ("A", "A", "Field", "self"), ("Foo_PROTO", "E", "Field", "p")]
 
@@ -104,6 +105,15 @@ def test_cycles_put_no_three_step_paths_together(spark):
     assert made and max(made) < 100_000
 
 
+def test_health_report_looks_for_cycles_once(spark, sf, monkeypatch):
+    real, asked = G.cycles, []
+    monkeypatch.setattr(G, "cycles", lambda *a: asked.append(a) or real(*a))
+    rows = {r.metric: r.value for r in catalog.QUERIES["health_report"](spark, sf).collect()}
+    assert len(asked) == 1
+    cycles = [r.length for r in real(bindings.type_edges(spark, sf), 4).collect()]
+    assert (rows["direct_cycles"], rows["other_cycles"]) == (sum(n <= 2 for n in cycles), sum(n > 2 for n in cycles))
+
+
 def test_impact(fx1, spark):
     _, e = fx1
     assert pairs(G.levels(e, start(spark, "A"), 3, reverse=True).select("name", "depth")) == {("C", 1), ("X", 1), ("B", 2)}
