@@ -43,7 +43,7 @@ def health(nodes: DataFrame, edges: DataFrame, issues: DataFrame, max_len: int =
 
 def risk(edges: DataFrame, starts: DataFrame, issues: DataFrame, assets: DataFrame, depth: int = 3) -> DataFrame:
     """start, affected, deepest, issues, assets: how far a change reaches, and what is known about the type (issues, assets: name)."""
-    reach = G.levels(edges, starts, depth, reverse=True).groupBy("start").agg(F.count("*").alias("affected"), F.max("depth").alias("deepest"))
+    reach = G.reach_counts(edges, starts, depth, reverse=True)
     count = lambda df, c: df.groupBy(F.col("name").alias("start")).agg(F.count("*").alias(c))
     rows = starts.select("start").distinct().join(reach, "start", "left").join(count(issues, "issues"), "start", "left").join(count(assets, "assets"), "start", "left")
     return rows.na.fill(0, ["affected", "deepest", "issues", "assets"])

@@ -20,6 +20,8 @@ from cordage.plans.versions import delete
 LAZY_ROUNDS = 4
 #: Rows that one turn of a search puts together at once: so many times the edges, and so many at least.
 TURN_EDGES, TURN_ROWS = 2, 8_000_000
+#: Nodes reached, as numbers in arrays, that one turn puts together: so many times the edges, and at most so many of one start.
+TURN_IDS, START_IDS = 8, 4_000_000
 
 
 def dedupe_edges(edges: DataFrame, keys=("src", "dst", "kind"), drop_self: bool = True) -> DataFrame:
@@ -222,6 +224,78 @@ def levels(edges: DataFrame, starts: DataFrame, depth: int | None, reverse: bool
     return seen.filter("depth > 0").select("start", "name", F.col("depth").cast("long").alias("depth"))
 
 
+def reach_counts(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """start, affected, deepest: of each start that reaches any, how many nodes ``levels`` finds in 1 to ``depth`` steps, and the most steps that one of them takes.
+
+    Many starts reach many times as many nodes as there are edges. Then their pairs are not made at once: the nodes reached are dealt to turns,
+    so that what a turn shuffles stays near the edges' own size, and each start's counts are summed over the turns.
+    """
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    step, path = placed(edges.filter("src != dst").select(F.col(a).alias("name"), F.col(b).alias("next")).distinct())
+    asked = starts.select("start").distinct()
+    turns = _reach_turns(step, asked, depth)
+    if turns > 1:
+        found = _counted_in_turns(step, depth, turns).join(asked, "start", "left_semi")
+    else:
+        reached = levels(step.select(F.col("name").alias("src"), F.col("next").alias("dst")), asked, depth)
+        found = reached.groupBy("start").agg(F.count("*").alias("affected"), F.max("depth").alias("deepest"))
+    delete(step.sparkSession, path)
+    return found
+
+
+def _reach_turns(step: DataFrame, starts: DataFrame, depth: int) -> int:
+    """Turns by the number of walks: bounds of the pairs in all, and of those of one start, which are put together in one place."""
+    back = step.select(F.col("next").alias("at"), F.col("name").alias("head"))
+    walks = step.groupBy("name").agg(F.count("*").cast("double").alias("walks"))
+    out = walks
+    for _ in range(depth - 1):
+        onward = back.join(out, back.at == out.name).groupBy(F.col("head").alias("name")).agg(F.sum("walks").alias("more"))
+        out = walks.join(onward, "name", "left").select("name", (F.col("walks") + F.coalesce("more", F.lit(0.0))).alias("walks"))
+    each = out.join(starts.select(F.col("start").alias("name")), "name", "left_semi")
+    found = each.agg(F.sum("walks").alias("pairs"), F.max("walks").alias("most")).join(step.agg(F.count("*").alias("edges"))).first()
+    return max(1, ceil((found.pairs or 0) / max(TURN_IDS * found.edges, TURN_ROWS)), ceil((found.most or 0) / START_IDS))
+
+
+def _counted_in_turns(step: DataFrame, depth: int, turns: int) -> DataFrame:
+    """start, affected, deepest of every node. A turn takes the nodes of its share as arrays from their own neighbours on from node to node, one step at a time."""
+    spark, sizes = step.sparkSession, [f"n{k}" for k in range(1, depth + 1)]
+    zeros = [F.lit(0).cast("long").alias(n) for n in sizes]
+    # Where a node's array goes next: to all that lead to it.
+    heads, heads_path = placed(step.groupBy(F.col("next").alias("name")).agg(F.collect_list("name").alias("heads")))
+    total, total_path = None, None
+    for turn in range(turns):
+        mine = step.filter(F.pmod(F.xxhash64("next"), F.lit(turns)) == turn)
+        near = mine.groupBy("name").agg(F.collect_list("next").alias("ids"))
+        near = near.select("name", "ids", F.size("ids").cast("long").alias("n1"), *zeros[1:])
+        near, near_path = placed(near)
+        for k in range(2, depth + 1):
+            sent = near.select("name", "ids").join(heads, "name").select(F.explode("heads").alias("name"), "ids", *zeros)
+            rows = near.unionByName(sent)
+            if k == depth and total is not None:
+                rows = rows.unionByName(total.select("name", F.array().cast(dict(near.dtypes)["ids"]).alias("ids"), *sizes))
+            met = rows.groupBy("name").agg(F.collect_list("ids").alias("ids"), *[F.sum(n).alias(n) for n in sizes])
+            ids = F.array_remove(F.array_distinct(F.flatten("ids")), F.col("name"))
+            met = met.select("name", ids.alias("ids"), *sizes)
+            own = F.size("ids").cast("long")
+            met = met.select("name", "ids", *[(F.col(n) + own).alias(n) if n == f"n{k}" else F.col(n) for n in sizes])
+            before = near_path
+            near, near_path = placed(met.select("name", *sizes) if k == depth else met)
+            delete(spark, before)
+        if depth == 1:
+            both = near.select("name", *sizes) if total is None else near.select("name", *sizes).unionByName(total)
+            before = near_path
+            near, near_path = placed(both.groupBy("name").agg(*[F.sum(n).alias(n) for n in sizes]))
+            delete(spark, before)
+        if total_path:
+            delete(spark, total_path)
+        total, total_path = near, near_path
+    delete(spark, heads_path)
+    deepest = F.lit(1)
+    for k in range(2, depth + 1):
+        deepest = F.when(F.col(f"n{k}") > F.col(f"n{k - 1}"), k).otherwise(deepest)
+    return total.filter(F.col(sizes[-1]) > 0).select(F.col("name").alias("start"), F.col(sizes[-1]).alias("affected"), deepest.cast("long").alias("deepest"))
+
+
 def impact_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """path, depth, recursive: every reverse path of up to ``depth`` steps. One that comes back to a node of its own is marked and goes no further.
 

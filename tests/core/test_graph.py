@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cordage.operators import compose as C
 from cordage.operators import graph as G
 from cordage.operators import reports as R
 from cordage.operators import search as S
@@ -122,6 +123,33 @@ def test_impact(fx1, spark):
     assert found == {("A<C", False), ("A<X", False), ("A<C<B", False), ("A<C<B<A", True)}
 
 
+@pytest.mark.parametrize(("depth", "reverse"), [(1, True), (2, False), (3, True), (4, False)])
+def test_reach_counts_in_turns_equal_levels(spark, monkeypatch, depth, reverse):
+    r = random.Random(depth)
+    rows = [(r.randrange(50), r.randrange(50)) for _ in range(80)] + [(70, 71), (71, 70), (72, 72)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    some = spark.createDataFrame([(i,) for i in range(0, 90, 2)] + [(70,), (70,)], "start long")
+    levels = G.levels(e, some.distinct(), depth, reverse=reverse).groupBy("start").agg(F.count("*"), F.max("depth"))
+    expected = pairs(levels)
+    assert pairs(G.reach_counts(e, some, depth, reverse)) == expected
+    monkeypatch.setattr(G, "levels", None)
+    monkeypatch.setattr(G, "TURN_IDS", 0)
+    monkeypatch.setattr(G, "TURN_ROWS", 20)
+    assert G._reach_turns(e.filter("src != dst").distinct().toDF("name", "next"), some, depth) > 1
+    counted = G.reach_counts(e, some, depth, reverse)
+    assert pairs(counted) == expected and counted.count() == len(expected)
+
+
+def test_risk_of_many_starts_makes_no_pairs(spark, monkeypatch):
+    e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("X", "A"), ("D", "E")], "src string, dst string")
+    nothing = spark.createDataFrame([], "name string")
+    monkeypatch.setattr(G, "levels", None)
+    monkeypatch.setattr(G, "TURN_IDS", 0, raising=False)
+    monkeypatch.setattr(G, "TURN_ROWS", 2, raising=False)
+    found = C.risk(e, start(spark, "A", "C", "E", "X", "Z"), spark.createDataFrame([("E",)], "name string"), nothing)
+    assert pairs(found) == {("A", 3, 2, 0, 0), ("C", 3, 3, 0, 0), ("E", 1, 1, 1, 0), ("X", 0, 0, 0, 0), ("Z", 0, 0, 0, 0)}
+
+
 def test_paths(fx1, spark):
     _, e = fx1
     assert G.shortest_paths(e, start(spark, "X"), F.col("name") == "E", 10).first().path == ["X", "A", "B", "C", "D", "E"]
