@@ -115,6 +115,17 @@ def test_health_report_looks_for_cycles_once(spark, sf, monkeypatch):
     assert (rows["direct_cycles"], rows["other_cycles"]) == (sum(n <= 2 for n in cycles), sum(n > 2 for n in cycles))
 
 
+@pytest.mark.parametrize("name", ["lint_sections"])
+def test_lint_is_the_same_with_cycles_in_many_turns(spark, sf, monkeypatch, name):
+    whole = pairs(catalog.QUERIES[name](spark, sf))
+    real, turns = G._cycle_turns, []
+    monkeypatch.setattr(G, "TURN_EDGES", 0)
+    monkeypatch.setattr(G, "TURN_ROWS", 2000)
+    monkeypatch.setattr(G, "_cycle_turns", lambda *a: turns.append(real(*a)) or turns[-1])
+    assert pairs(catalog.QUERIES[name](spark, sf)) == whole
+    assert turns and turns[0] > 1
+
+
 def test_impact(fx1, spark):
     _, e = fx1
     assert pairs(G.levels(e, start(spark, "A"), 3, reverse=True).select("name", "depth")) == {("C", 1), ("X", 1), ("B", 2)}
