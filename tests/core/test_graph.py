@@ -115,7 +115,7 @@ def test_health_report_looks_for_cycles_once(spark, sf, monkeypatch):
     assert (rows["direct_cycles"], rows["other_cycles"]) == (sum(n <= 2 for n in cycles), sum(n > 2 for n in cycles))
 
 
-@pytest.mark.parametrize("name", ["lint_sections"])
+@pytest.mark.parametrize("name", ["lint_sections", "watch_lint_summary"])
 def test_lint_is_the_same_with_cycles_in_many_turns(spark, sf, monkeypatch, name):
     whole = pairs(catalog.QUERIES[name](spark, sf))
     real, turns = G._cycle_turns, []
