@@ -117,13 +117,14 @@ def test_health_report_looks_for_cycles_once(spark, sf, monkeypatch):
 
 @pytest.mark.parametrize("name", ["lint_sections", "watch_lint_summary"])
 def test_lint_is_the_same_with_cycles_in_many_turns(spark, sf, monkeypatch, name):
+    # The smallest tables hardly have cycles.
+    sf = sf.replace("sf0.001", "sf0.01")
     whole = pairs(catalog.QUERIES[name](spark, sf))
-    real, turns = G._cycle_turns, []
-    monkeypatch.setattr(G, "TURN_EDGES", 0)
-    monkeypatch.setattr(G, "TURN_ROWS", 2000)
-    monkeypatch.setattr(G, "_cycle_turns", lambda *a: turns.append(real(*a)) or turns[-1])
+    assert name != "lint_sections" or "GEN-ARCH-001" in {r[0] for r in whole}
+    asked = []
+    monkeypatch.setattr(G, "_cycle_turns", lambda *_: asked.append(1) or 3)
     assert pairs(catalog.QUERIES[name](spark, sf)) == whole
-    assert turns and turns[0] > 1
+    assert asked
 
 
 def test_impact(fx1, spark):
